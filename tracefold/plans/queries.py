@@ -2,9 +2,49 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+
+from tracefold.operators import drift, nested
+from tracefold.session import checkpointed
+
+Query = Callable[[SparkSession, str], DataFrame]
+NESTED = ["verification", "token_usage", "attempts", "tool_call_events"]
+# The columns of the one table that raw records are read into.
+RECORD = {
+    "trajectory_id": "string", "schema_version": "string", "instance_id": "string", "task": "string", "model": "string", "seed": "bigint", "created_at": "double", "llm_claimed_success": "boolean",
+    "verification": "string", "attempts": "string", "tool_call_events": "string", "token_usage": "string", "metadata": "map<string,string>",
+}
+
+
+def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return nested.FlatTables(_t(spark, sf, "trajectories"), "record_id", NESTED).positions()
+
+
+def p5_attempts(spark: SparkSession, sf: str) -> DataFrame:
+    return nested.FlatTables(_t(spark, sf, "trajectories"), "record_id", ["attempts"]).typed("attempts")
+
+
+def p5_verification(spark: SparkSession, sf: str) -> DataFrame:
+    return nested.FlatTables(_t(spark, sf, "trajectories"), "record_id", ["verification"]).typed("verification")
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return drift.drift_report(_t(spark, sf, "raw_records")).select("file_name", "change_kind", "field_path", "new_path")
+
+
+def p6_unified(spark: SparkSession, sf: str) -> DataFrame:
+    lines = _t(spark, sf, "raw_records")
+    return drift.unified_records(lines, checkpointed(drift.drift_report(lines)), RECORD)
+
+
+def queries() -> dict[str, Query]:
+    return {f.__name__: f for f in (p5_found, p5_attempts, p5_verification, p6_found, p6_unified)}
 
 
 def oracle_sql() -> dict[str, str]:
