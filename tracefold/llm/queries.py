@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracefold.llm import patterns, repeats, sampling, splits
+from tracefold.llm import contamination, patterns, repeats, sampling, splits
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -53,6 +53,14 @@ def p4_splits(spark: SparkSession, sf: str) -> DataFrame:
     return splits.split_records(_t(spark, sf, "trajectories"), _t(spark, sf, "split_targets"))
 
 
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return contamination.eval_leaks(_t(spark, sf, "documents"), _t(spark, sf, "eval_items"))
+
+
+def p7_items(spark: SparkSession, sf: str) -> DataFrame:
+    return contamination.leaked_items(_t(spark, sf, "documents"), _t(spark, sf, "eval_items"))
+
+
 P3_FOUND_SQL = """
 WITH l AS (
   SELECT lower(trim(trajectory_id)) AS run, labelled_at,
@@ -85,7 +93,7 @@ SELECT record_id, min(record_id) OVER (PARTITION BY root) AS group_id FROM g WHE
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_collapsed, p2_found, p2_support, p3_found, p3_sample, p3_report, p4_found, p4_splits)}
+    return {f.__name__: f for f in (p1_found, p1_collapsed, p2_found, p2_support, p3_found, p3_sample, p3_report, p4_found, p4_splits, p7_found, p7_items)}
 
 
 def oracle_sql() -> dict[str, str]:
