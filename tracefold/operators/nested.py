@@ -2,150 +2,169 @@
 
 from __future__ import annotations
 
+import json
 import re
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracefold.functions.names import folded
+#: Objects whose members are data and not columns of a table.
+OPEN = ("params", "metadata")
+_KIND = {str: "string", bool: "boolean", int: "bigint", float: "double", dict: "object", list: "array", type(None): "null"}
+_TYPES = {frozenset({"boolean"}): "BOOLEAN", frozenset({"bigint"}): "BIGINT", frozenset({"double"}): "DOUBLE", frozenset({"bigint", "double"}): "DOUBLE"}
 
-_SPACE = r"^\s+|\s+$"
-_LIST = r"^\[\s*(\[\s*)?(null\s*,\s*)*\{"
-_HOLDS_LIST = r'^\s*\{(?s:.*)":\s*\[\s*(null\s*,\s*)*\{'
 
+def _folded(name: str) -> str:
+    return re.sub(r"[\W_]+", "", name.lower())
 
-def _plain(c: Column) -> Column:
-    """The JSON text without blanks around it, and without the quotes of one that was written as a string."""
-    t = F.regexp_replace(c, _SPACE, "")
-    for _ in range(2):
-        inner = F.get(F.from_json(F.concat(F.lit("["), t, F.lit("]")), "array<string>"), F.lit(0))
-        t = F.when(t.startswith('"'), F.coalesce(F.regexp_replace(inner, _SPACE, ""), t)).otherwise(t)
-    return t
 
+def loaded(text: str | None) -> object:
+    """What a text holds: JSON, JSON written as a string once more, or else the text; None for none or an empty one."""
+    for _ in range(3):
+        if not isinstance(text, str):
+            return text
+        t = text.strip()
+        if not t:
+            return None
+        try:
+            new = json.loads(t)
+        except (ValueError, RecursionError):
+            return text
+        if isinstance(new, str) and not new.strip().startswith(("[", "{", '"')):
+            return new
+        text = new
+    return text
 
-def _listed(t: Column) -> Column:
-    return F.when(t.startswith("["), F.from_json(t, "array<string>"))
 
+def _group_list(x: object) -> str | None:
+    """The member that holds the list of a group or envelope, {"turn_id": 3, "calls": [{...}]}; None if x is neither.
 
-def _ungrouped(x: Column) -> Column:
-    """The elements of a group, {"turn_id": 3, "calls": [...]}, each with the group's plain members; null if x is no group.
-
-    A group is an object with exactly one list of objects and at most two plain members.
+    Such an object has one list of objects and at most two plain members beside it.
     """
-    m = F.from_json(x, "map<string,string>")
-    lists = F.map_filter(m, lambda k, v: v.rlike(_LIST))
-    plain = F.map_filter(m, lambda k, v: v.isNotNull() & ~v.rlike(r"^[\[{]"))
-    member = lambda e: F.when(e["value"].rlike(r"^(-?\d+(\.\d+)?([eE][+-]?\d+)?|true|false)$"), F.concat(F.lit('"'), e["key"], F.lit('":'), e["value"])).otherwise(F.regexp_replace(F.to_json(F.create_map(e["key"], e["value"])), r"^\{|\}$", ""))
-    given = F.array_join(F.transform(F.map_entries(plain), member), ",")
-    inner = F.from_json(F.get(F.map_values(lists), F.lit(0)), "array<string>")
-    inner = F.transform(inner, lambda y: F.when(y.rlike(r"^\{\s*\}$") | ~y.startswith("{") | (given == ""), y).otherwise(F.concat(F.lit("{"), given, F.lit(","), F.substring(y, F.lit(2), F.length(y)))))
-    return F.when((F.size(lists) == 1) & (F.size(plain) <= 2) & (F.size(m) <= 3), inner)
-
-
-def with_elements(df: DataFrame, column: str, name: str, out: str) -> DataFrame:
-    """Adds `out`: the elements of the JSON text in `column`, as texts in written order.
-
-    Taken as a list: a list, a list of lists or of groups (see _ungrouped), an object keyed by positions, an envelope with
-    the list under the table's own name or beside plain members only, or any of these written as a string once more.
-    Anything else is one element. Nulls, empty objects, empty lists and an empty text are no elements. Text that starts as a list but
-    doesn't parse gives none; other text that doesn't parse is one element, as a lone value is.
+    if not isinstance(x, dict) or not 1 <= len(x) <= 3:
+        return None
+    lists = [k for k, v in x.items() if isinstance(v, list) and any(isinstance(y, (dict, list)) for y in v)]
+    plain = [k for k, v in x.items() if not isinstance(v, (dict, list))]
+    return lists[0] if len(lists) == 1 and len(plain) == len(x) - 1 else None
+
+
+def elements(value: object, name: str) -> list:
+    """The elements of a table's value in written order.
+
+    Taken as a list: a list, lists in a list, an object keyed by positions, an envelope with the value under the table's own name or
+    in a list beside plain members, and lists of groups, whose plain members go to each of their elements. Anything else
+    is one element. Nulls, empty objects and empty lists are no elements.
     """
-    a, b, c = f"_{out}_t", f"_{out}_m", f"_{out}_l"
-    df = df.withColumn(a, _plain(F.col(column)))
-    df = df.withColumn(b, F.when(F.col(a).startswith("{"), F.from_json(a, "map<string,string>")))
-    m, lists = F.col(b), F.map_values(F.map_filter(b, lambda k, v: v.rlike(_LIST)))
-    own = F.map_values(F.map_filter(b, lambda k, v: folded(k) == re.sub(r"[^a-z0-9]", "", name.lower())))
-    boxed = F.exists(F.map_values(b), lambda v: v.rlike(r"^[\[{]\s*[^\]}\s]"))
-    one_list = (F.size(lists) == 1) & (F.size(F.filter(F.map_values(b), lambda v: v.rlike(r"^[\[{]"))) == 1)
-    inside = F.when((F.size(b) == 1) & (F.size(own) == 1) & boxed, F.get(own, F.lit(0))).when(one_list, F.get(lists, F.lit(0)))
-    keyed = (F.size(b) > 0) & F.forall(F.map_keys(b), lambda k: k.rlike(r"^\d+$"))
-    df = df.withColumn(c, F.when(m.isNotNull(), F.when(keyed, F.map_values(b)).when(inside.isNotNull(), F.coalesce(_listed(inside), F.array(inside))).otherwise(F.array(a))).when(F.col(a).startswith("["), _listed(F.col(a))).otherwise(F.array(a)))
-    for _ in range(2):
-        df = df.withColumn(c, F.flatten(F.transform(c, lambda x: F.coalesce(F.when(x.rlike(r"^\s*\["), F.from_json(x, "array<string>")).when(x.rlike(_HOLDS_LIST), _ungrouped(x)), F.array(x)))))
-    lone_blank = F.col(a).isNull() | F.col(a).isin("", "null")
-    kept = F.filter(c, lambda x: x.isNotNull() & ~x.rlike(r"^\s*(\{\s*\}|\[\s*\])\s*$"))
-    return df.withColumn(out, F.when(lone_blank, F.array().cast("array<string>")).otherwise(F.coalesce(kept, F.array().cast("array<string>")))).drop(a, b, c)
-
-
-def parse_object_type(text: str) -> dict[str, str]:
-    """The members of 'OBJECT<a: BIGINT, b: ARRAY<...>>' by name; empty for other types."""
-    if not text or not text.startswith("OBJECT<"):
-        return {}
-    out, depth, part, quoted = [], 0, "", False
-    for ch in text[7:-1]:
-        quoted ^= ch == "`"
-        if not quoted:
-            depth += (ch in "<(") - (ch in ">)")
-            if ch == "," and depth == 0:
-                out.append(part)
-                part = ""
-                continue
-        part += ch
-    out.append(part)
-    split = (re.match(r"\s*(?:`((?:[^`]|``)*)`|([^:]+)):\s*(.*)$", x, re.S) for x in out if x.strip())
-    return {(m[1] or m[2]).replace("``", "`"): m[3] for m in split if m}
-
-
-def merged_schema(elements: DataFrame, column: str) -> dict[str, str]:
-    """The members of all elements with their merged types, over all rows; VARIANT where types disagree."""
-    got = elements.agg(F.expr(f"schema_of_variant_agg(try_parse_json({column}))")).first()[0]
-    return parse_object_type(got or "")
-
-
-def _ddl(kind: str) -> str:
-    base = kind.split("<")[0].split("(")[0]
-    if base == "DECIMAL":
-        return "DOUBLE"
-    return kind if base in ("BIGINT", "DOUBLE", "FLOAT", "BOOLEAN") else "STRING"
+    if isinstance(value, dict):
+        inner = _group_list(value)
+        if len(value) == 1 and _folded(next(iter(value))) == _folded(name) and isinstance(next(iter(value.values())), (dict, list)):
+            return elements(next(iter(value.values())), name)
+        if value and all(k.isdigit() for k in value):
+            value = list(value.values())
+        elif inner is not None:
+            value = value[inner]
+        else:
+            value = [value]
+    elif not isinstance(value, list):
+        value = [value]
+    out = []
+    groups = {m for m in map(_group_list, value) if m is not None} if any(isinstance(x, dict) and len(x) <= 3 for x in value) else ()
+    for x in value:
+        if isinstance(x, list):
+            out += elements(x, name)
+        elif groups and isinstance(x, dict) and len(x) <= 3 and (m := next((g for g in groups if g in x), None)) is not None and isinstance(x[m], (list, type(None))):
+            given = {k: v for k, v in x.items() if k != m}
+            out += [given | y if isinstance(y, dict) and y else y for y in elements(x[m] or [], name)]
+        else:
+            out.append(x)
+    return [x for x in out if x is not None and x != {} and x != []]
+
+
+def child_name(table: str, member: str) -> str:
+    return f"{re.sub('s$', '', table)}_{member}"
+
+
+def _see(table: str, rows: list, seen: dict) -> None:
+    """Adds to seen[table, member] the kinds of the members of a table's rows, and of the lists in them."""
+    for x in rows:
+        if not isinstance(x, dict):
+            seen.setdefault((table, ""), set()).add(_KIND[type(x)])
+            continue
+        for k, v in x.items():
+            seen.setdefault((table, k), set()).add(_KIND[type(v)])
+            if isinstance(v, list) and k not in OPEN:
+                _see(child_name(table, k), elements(v, k), seen)
 
 
 class FlatTables:
-    """The flat tables of some JSON columns, from the merged schema of their elements.
+    """The flat tables of some JSON columns, by the merged schema of all their rows.
+
+    schemas has, by table, each member's kinds; children has the members that hold lists in some row, which are tables of their own, named after
+    the parent in the singular. rows has (table, key, parent_pos, child_pos, element). Top tables have parent_pos -1; a child's parent_pos is the
+    child_pos of its parent's row, so (key, parent_pos) points to it. child_pos counts from 0 in written order within the record for top tables, else within
+    the parent. A lone value where other rows have a list is a list of one. See elements() for what counts as a list.
 
-    tables: name to DataFrame (record key, parent_pos, child_pos, element). Top tables have parent_pos -1. Members that hold
-    lists become child tables named after the parent in the singular; their parent_pos is the child_pos of the parent's row,
-    so (key, parent_pos, child_pos) points to the parent by (key, parent_pos). Lists inside the children are expanded again.
-    child_pos counts from 0 in written order within the parent. A lone value where other rows have a list is a list of one.
+    Null, empty and blank texts give no rows, a text that doesn't parse gives one row with the text; an empty table gives empty tables. Lists at any depth are
+    followed. Columns other than the key and the given ones are ignored. Two passes read the records, each where they lie; nothing is shuffled but the schema.
     """
 
     def __init__(self, records: DataFrame, key: str, columns: list[str]):
-        self.key, self.tables, self.schemas = key, {}, {}
-        for c in columns:
-            rows = with_elements(records.select(F.col(key).alias("_key"), F.col(c).alias("_text")), "_text", c, "_elements")
-            top = rows.select(F.col("_key").alias(key), F.lit(-1).cast("long").alias("parent_pos"), F.posexplode("_elements").alias("child_pos", "element"))
-            self._add(c, top.withColumn("child_pos", F.col("child_pos").cast("long")))
-
-    def _add(self, name: str, table: DataFrame) -> None:
-        self.tables[name] = table
-        schema = self.schemas[name] = merged_schema(table, "element")
-        unsure = [m for m, t in schema.items() if t == "VARIANT"]
-        lists = [m for m, t in schema.items() if t.startswith("ARRAY<")]
-        if unsure:
-            members = F.from_json("element", "map<string,string>")
-            found = table.select(members.alias("m")).agg(*[F.bool_or(F.col("m")[m].rlike(r"^\[")).alias(str(i)) for i, m in enumerate(unsure)]).first()
-            lists += [m for i, m in enumerate(unsure) if found[i]]
-        for m in sorted(lists):
-            child = f"{re.sub('s$', '', name)}_{m}"
-            rows = with_elements(table.select(F.col(self.key).alias("_key"), F.col("child_pos").alias("_at"), F.from_json("element", "map<string,string>")[m].alias("_text")), "_text", m, "_elements")
-            rows = rows.select(F.col("_key").alias(self.key), F.col("_at").alias("parent_pos"), F.posexplode("_elements").alias("child_pos", "element"))
-            self._add(child, rows.withColumn("child_pos", F.col("child_pos").cast("long")))
+        self.key, self.columns = key, columns
+        self.records = records.select(F.col(key).cast("long").alias("_key"), *[F.col(c).cast("string").alias(c) for c in columns])
+        self.schemas: dict[str, dict[str, set[str]]] = {c: {} for c in columns}
+
+        def infer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            seen: dict = {}
+            for b in batches:
+                for c in columns:
+                    for text in b[c]:
+                        _see(c, elements(loaded(text), c), seen)
+            yield pd.DataFrame([(t, m, k) for (t, m), kinds in seen.items() for k in kinds], columns=["t", "m", "k"])
+
+        for r in sorted(self.records.select(*columns).mapInPandas(infer, "t string, m string, k string").distinct().collect()):
+            self.schemas.setdefault(r["t"], {}).setdefault(r["m"], set()).add(r["k"])
+        self.children = {t: sorted(m for m, k in ms.items() if "array" in k and m not in OPEN) for t, ms in self.schemas.items()}
+
+    def rows(self, with_elements: bool = True) -> DataFrame:
+        columns, children, key = self.columns, self.children, self.key
+
+        def put(table: str, value: object, name: str, record: int, parent: int, out: list) -> None:
+            for i, x in enumerate(elements(value, name)):
+                out.append((record, table, parent, i, (x if isinstance(x, str) else json.dumps(x, ensure_ascii=False)) if with_elements else None))
+                if isinstance(x, dict):
+                    for m in children.get(table, ()):
+                        put(child_name(table, m), loaded(x.get(m)) if isinstance(x.get(m), str) and x[m][:1] in "[{" else x.get(m), m, record, i, out)
+
+        def flatten(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                out: list = []
+                for record, *texts in zip(b["_key"], *[b[c] for c in columns]):
+                    for c, text in zip(columns, texts):
+                        put(c, loaded(text), c, record, -1, out)
+                    if len(out) > 20_000:
+                        yield pd.DataFrame(out, columns=["_key", "child_table", "parent_pos", "child_pos", "element"])
+                        out = []
+                yield pd.DataFrame(out, columns=["_key", "child_table", "parent_pos", "child_pos", "element"])
+
+        flat = self.records.where("_key IS NOT NULL").mapInPandas(flatten, "_key long, child_table string, parent_pos long, child_pos long, element string")
+        return flat.withColumnRenamed("_key", key)
 
     def typed(self, name: str) -> DataFrame:
-        """The table with one column per member of the merged schema; members of unlike types, lists and objects are JSON text.
+        """The table with one column per member; members of unlike kinds, lists and objects are JSON text.
 
         A table of plain values has the column value. Members named like the key columns get a trailing underscore.
         """
-        schema, fixed = self.schemas[name], {self.key, "parent_pos", "child_pos"}
-        if not schema:
-            return self.tables[name].withColumnRenamed("element", "value")
-        ddl = ", ".join(f"`{m.replace('`', '``')}` {_ddl(t)}" for m, t in schema.items())
-        s = self.tables[name].withColumn("_s", F.from_json("element", ddl))
-        return s.select(self.key, "parent_pos", "child_pos", *[F.col("_s")[m].alias(m + "_" if m.lower() in fixed else m) for m in schema])
+        members = {m: k - {"null"} for m, k in self.schemas.get(name, {}).items() if m}
+        rows = self.rows().where(F.col("child_table") == name).drop("child_table")
+        if not members:
+            return rows.withColumnRenamed("element", "value")
+        ddl = ", ".join(f"`{m.replace('`', '``')}` {_TYPES.get(frozenset(k), 'STRING')}" for m, k in members.items())
+        fixed = {self.key.lower(), "parent_pos", "child_pos"}
+        s = rows.withColumn("_s", F.from_json("element", ddl))
+        return s.select(self.key, "parent_pos", "child_pos", *[F.col("_s")[m].alias(m + "_" if m.lower() in fixed else m) for m in members])
 
     def positions(self) -> DataFrame:
         """(key, child_table, parent_pos, child_pos) of all rows of all tables."""
-        parts = [t.select(self.key, F.lit(n).alias("child_table"), "parent_pos", "child_pos") for n, t in self.tables.items()]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
+        return self.rows(with_elements=False).drop("element")
