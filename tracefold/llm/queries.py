@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracefold.llm import contamination, patterns, repeats, sampling, splits
+from tracefold.llm import contamination, patterns, repeats, sampling, splits, truncation
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -61,6 +61,14 @@ def p7_items(spark: SparkSession, sf: str) -> DataFrame:
     return contamination.leaked_items(_t(spark, sf, "documents"), _t(spark, sf, "eval_items"))
 
 
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return truncation.truncated(_t(spark, sf, "documents"))
+
+
+def p9_by_source(spark: SparkSession, sf: str) -> DataFrame:
+    return truncation.truncation_by_source(_t(spark, sf, "documents"))
+
+
 P3_FOUND_SQL = """
 WITH l AS (
   SELECT lower(trim(trajectory_id)) AS run, labelled_at,
@@ -93,7 +101,7 @@ SELECT record_id, min(record_id) OVER (PARTITION BY root) AS group_id FROM g WHE
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_collapsed, p2_found, p2_support, p3_found, p3_sample, p3_report, p4_found, p4_splits, p7_found, p7_items)}
+    return {f.__name__: f for f in (p1_found, p1_collapsed, p2_found, p2_support, p3_found, p3_sample, p3_report, p4_found, p4_splits, p7_found, p7_items, p9_found, p9_by_source)}
 
 
 def oracle_sql() -> dict[str, str]:
