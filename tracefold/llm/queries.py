@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracefold.llm import contamination, patterns, repeats, sampling, splits, truncation
+from tracefold.llm import contamination, mixing, patterns, repeats, sampling, splits, truncation
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -69,6 +69,18 @@ def p9_by_source(spark: SparkSession, sf: str) -> DataFrame:
     return truncation.truncation_by_source(_t(spark, sf, "documents"))
 
 
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.short_sources(_t(spark, sf, "documents"), _t(spark, sf, "mix_targets"))
+
+
+def p8_mixture(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix_schedule(_t(spark, sf, "documents"), _t(spark, sf, "mix_targets"))
+
+
+def p8_report(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix_report(_t(spark, sf, "documents"), _t(spark, sf, "mix_targets"))
+
+
 P3_FOUND_SQL = """
 WITH l AS (
   SELECT lower(trim(trajectory_id)) AS run, labelled_at,
@@ -101,7 +113,7 @@ SELECT record_id, min(record_id) OVER (PARTITION BY root) AS group_id FROM g WHE
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_collapsed, p2_found, p2_support, p3_found, p3_sample, p3_report, p4_found, p4_splits, p7_found, p7_items, p9_found, p9_by_source)}
+    return {f.__name__: f for f in (p1_found, p1_collapsed, p2_found, p2_support, p3_found, p3_sample, p3_report, p4_found, p4_splits, p7_found, p7_items, p8_found, p8_mixture, p8_report, p9_found, p9_by_source)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -12,6 +12,8 @@ from tracefold.functions.names import snake
 SEEN, SURE = 8, 60
 #: Below this share of ends a trigram hardly ever ends a line, or a sequence of lines a text.
 RARE_END = 0.02
+#: A short line that ends this share of a source's texts closes them.
+CLOSING = 0.02
 
 # Signs that something is missing, at the very end. Dots and three-dots may be meant and are only taken off.
 _SIGN = r"(?is)[\s\n]*(?:[\[(<{][^\[\](){}<>\n]{0,24}?\b(?:truncated|cut|snip|snipped|omitted|elided|clipped|abridged|continued|output too long|too long|more lines?|more bytes)\b[^\[\](){}<>\n]{0,24}[\])>}])\s*$"
@@ -152,7 +154,7 @@ def _weighed(finals: DataFrame, counts: DataFrame, name: str, rare: float) -> Da
         skip = F.lit(h == "h1" and name == "w") & F.col("word").rlike(r"^[^\p{L}\p{N}-]$")
         judge = lambda c: F.when(skip | (seen < SEEN), c).when(ends >= rare * seen, False).when(seen >= SURE, True).otherwise(F.coalesce(c, F.lit(True)))  # noqa: B023,E731
         cut, own_cut = judge(cut), judge(own_cut) if h[0] == "h" and h != "h0" else own_cut
-    return out.withColumn(f"{name}_cut", cut).withColumn(f"{name}_own_cut", own_cut).withColumn(f"{name}_in", F.coalesce("_i_h0", F.lit(0))).withColumn(f"{name}_known", F.coalesce(F.col("_i_g2") + F.col("_e_g2") - F.col("own"), F.lit(0)) >= SEEN).drop(*[f"_{x}_{h}" for x in "ie" for h in _LEVELS])
+    return out.withColumn(f"{name}_cut", cut).withColumn(f"{name}_own_cut", own_cut).withColumn(f"{name}_in", F.coalesce("_i_h0", F.lit(0))).withColumn(f"{name}_own_in", F.coalesce("_i_h1", F.lit(0))).withColumn(f"{name}_ends", F.coalesce(F.col("_e_h1") - F.col("own"), F.lit(0))).withColumn(f"{name}_known", F.coalesce(F.col("_i_g2") + F.col("_e_g2") - F.col("own"), F.lit(0)) >= SEEN).drop(*[f"_{x}_{h}" for x in "ie" for h in _LEVELS])
 
 
 def truncation_evidence(documents: DataFrame) -> DataFrame:
@@ -169,10 +171,13 @@ def truncation_evidence(documents: DataFrame) -> DataFrame:
     finals = final_grams(documents)
     copies = finals.groupBy(F.col("copy").alias("_copy")).agg(F.count("*").alias("own"))
     d = finals.join(copies, F.col("copy") == F.col("_copy")).drop("_copy")
+    texts = finals.groupBy(F.col("source").alias("_source")).agg(F.count("*").alias("texts"))
+    d = d.join(texts, F.col("source") == F.col("_source")).drop("_source")
     d = _weighed(_weighed(_weighed(d, counts, "w", RARE_END), counts, "k", RARE_END), counts, "f", RARE_END)
     short = (F.length("word") <= 2) & ~F.col("w_known")
     piece = F.col("word").rlike(r"^\p{L}[\p{L}']*$") & ~F.col("word").rlike(r"\p{IsHan}") & (short | (F.col("w_in") < SEEN)) & ~F.col("w_known")
-    closing = F.coalesce(F.col("kind").startswith("short") & (F.col("k_cut") == F.lit(False)) & (F.col("k_in") < SEEN), F.lit(False))
+    common = (F.col("k_ends") >= 2) & (F.col("k_ends") >= CLOSING * F.col("texts")) & (F.col("k_own_in") * 50 < F.col("k_ends"))
+    closing = F.coalesce(F.col("kind").startswith("short") & common, F.lit(False))
     title = (F.col("n_lines") == 1) & (F.col("n_words") <= 8)
     whole = F.col("word").rlike(r"^[.!?。！？]$") & F.col("kind").isin("text", "item", "turn", "head")
     judged = F.when(title | closing, F.col("w_own_cut")).otherwise(F.col("w_cut"))
