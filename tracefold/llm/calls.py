@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The six tools, and the signals a call can carry.
-TOOLS = ("bash", "declare_done", "file_create", "file_edit", "file_read", "search")
-SIGNALS = ("BLOCKED", "COMMAND_NOT_FOUND", "EMPTY_DIFF", "NONE", "OTHER", "RUNTIME_ERROR", "SYNTAX_ERROR", "TEST_FAILURE", "TIMEOUT")
+from tracefold.functions.steps import SIGNALS, TOOLS, plain_signal, plain_tool  # noqa: F401
 
 #: Positions of a run are cut into chunks of so many indices, so that no run lands in one task whole.
 CHUNK = 512
@@ -24,21 +22,6 @@ _THROWN = (
 )
 
 
-def plain_tool(c: Column) -> Column:
-    """The plain tool name of any spelling; unknown names stay, folded."""
-    f = F.regexp_replace(F.lower(c), r"[\s_\-]+", "")
-    e = f
-    for t in TOOLS:
-        e = F.when(f == t.replace("_", ""), F.lit(t)).otherwise(e)
-    return e
-
-
-def plain_signal(c: Column) -> Column:
-    """The upper-case signal; null and empty are NONE."""
-    s = F.upper(F.regexp_replace(F.regexp_replace(c, r"^\s+|\s+$", ""), r"[\s\-]+", "_"))
-    return F.when(s.isNull() | (s == ""), "NONE").otherwise(s)
-
-
 def _path(c: Column) -> Column:
     c = F.regexp_replace(F.trim(c), r"\\", "/")
     c = F.regexp_replace(c, r"/{2,}", "/")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracefold.functions.names import snake
+from tracefold.session import checkpointed
 
 #: A context with fewer sightings says nothing; the shorter one is asked then. With fewer than SURE sightings it can show that a text
 #: may end there, but not that it may not: no end among a few sightings is chance.
@@ -68,21 +69,20 @@ def _kind(line: Column) -> Column:
     )
 
 
-def _state(text: Column) -> Column:
-    """What is unfinished in the text's form: an open code block, hunk or JSON line; null if nothing is."""
-    fences = F.regexp_count(text, F.lit(r"(?m)^```"))
-    last_hunk = F.regexp_extract(text, r"(?s)(?:^|.*\n)(@@ -\d+(?:,\d+)? \+\d+(?:,\d+)? @@.*)$", 1)
-    old = F.coalesce(F.regexp_extract(last_hunk, r"^@@ -\d+,(\d+)", 1).try_cast("int"), F.lit(1))
-    new = F.coalesce(F.regexp_extract(last_hunk, r"^@@ -\S+ \+\d+,(\d+)", 1).try_cast("int"), F.lit(1))
-    body = F.regexp_replace(last_hunk, r"^[^\n]*\n?", "")
-    has_old = F.regexp_count(body, F.lit(r"(?m)^(?: .*|-.*)$"))
-    has_new = F.regexp_count(body, F.lit(r"(?m)^(?: .*|\+.*)$"))
-    json_line = F.regexp_extract(text, r"(?:^|\n)\s*([{\[]\s*\"[^\n]*)$", 1)
-    return (
-        F.when((last_hunk != "") & ((has_old < old) | (has_new < new)), "hunk-open")
-        .when(fences % 2 == 1, "code-open")
-        .when((json_line != "") & F.try_parse_json(json_line).isNull(), "json-open")
+def _with_state(d: DataFrame) -> DataFrame:
+    """Adds state, what is unfinished in the form of `bare`: an open code block, hunk or JSON line; null if nothing is."""
+    lined = F.concat(F.lit("\n"), F.col("bare"))
+    d = d.withColumn("_hunk", F.when(lined.contains("\n@@ -"), F.substring_index(lined, "\n@@ -", -1))).withColumn("_line", F.substring_index("bare", "\n", -1))
+    d = d.withColumn("_head", F.regexp_extract_all(F.substring_index("_hunk", "\n", 1), F.lit(r"^\d+(?:,(\d+))? \+\d+(?:,(\d+))? @@"), F.lit(0)))
+    d = d.withColumn("_body", F.filter(F.split(F.regexp_replace("_hunk", r"^[^\n]*\n?", ""), "\n"), lambda x: x.rlike(r"^[ +\-]")))
+    sized = lambda i: F.coalesce(F.regexp_extract(F.get("_head", F.lit(0)), r"^\d+(?:,(\d+))? \+\d+(?:,(\d+))? @@", i).try_cast("int"), F.lit(1))
+    has = lambda sign: F.size(F.filter("_body", lambda x: ~x.startswith(sign)))
+    state = (
+        F.when((F.size("_head") > 0) & ((has("+") < sized(1)) | (has("-") < sized(2))), "hunk-open")
+        .when(F.regexp_count("bare", F.lit(r"(?m)^```")) % 2 == 1, "code-open")
+        .when(F.col("_line").rlike(r"^\s*[{\[]\s*\"") & F.try_parse_json("_line").isNull(), "json-open")
     )
+    return d.withColumn("state", state).drop("_hunk", "_line", "_head", "_body")
 
 
 def _grams(tokens: str, of: str, every: bool) -> Column:
@@ -96,8 +96,8 @@ def _grams(tokens: str, of: str, every: bool) -> Column:
     return F.transform(
         F.when(n > 0, places).otherwise(F.array().cast("array<int>")),
         lambda i: F.struct(
-            F.xxhash64(F.lit(of), F.col("source"), at(i - 2), at(i - 1), at(i)).alias("h3"), F.xxhash64(F.lit(of), F.col("source"), at(i - 1), at(i)).alias("h2"),
-            F.xxhash64(F.lit(of), F.col("source"), at(i)).alias("h1"), F.xxhash64(F.lit(of), at(i - 1), at(i)).alias("g2"), F.xxhash64(F.lit(of), at(i)).alias("h0"), F.when(at(i + 1) == "\n", 0).otherwise(1).alias("inside"), F.when(at(i + 1) == "\n", 1).otherwise(0).alias("ends"),
+            F.xxhash64(F.lit(of + "3"), F.col("source"), at(i - 2), at(i - 1), at(i)).alias("h3"), F.xxhash64(F.lit(of + "2"), F.col("source"), at(i - 1), at(i)).alias("h2"),
+            F.xxhash64(F.lit(of + "1"), F.col("source"), at(i)).alias("h1"), F.xxhash64(F.lit(of + "-2"), at(i - 1), at(i)).alias("g2"), F.xxhash64(F.lit(of + "0"), at(i)).alias("h0"), F.when(at(i + 1) == "\n", 0).otherwise(1).alias("inside"), F.when(at(i + 1) == "\n", 1).otherwise(0).alias("ends"),
         ),
     )
 
@@ -106,7 +106,7 @@ def _prepared(documents: DataFrame) -> DataFrame:
     """Each text as word tokens with line breaks between, and as line kinds. forms has the open form at each of its places inside, and what is open at the end."""
     d = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.coalesce(snake("source"), F.lit("")).alias("source"), "text").where(F.col("text").rlike(r"\S"))
     d = d.withColumn("bare", without_signs(F.col("text")))
-    d = d.withColumn("state", _state(F.col("bare"))).withColumn("classed", _classed(F.col("bare")))
+    d = _with_state(d).withColumn("classed", _classed(F.col("bare")))
     d = d.withColumn("words", F.regexp_extract_all(F.lower("classed"), F.lit(_TOKEN), F.lit(0)))
     d = d.withColumn("kinds", F.transform(F.filter(F.split("classed", "\n"), lambda x: x.rlike(r"\S")), _kind))
     count = lambda p: F.regexp_count(F.col("bare"), F.lit(p))
@@ -139,22 +139,32 @@ def final_grams(documents: DataFrame) -> DataFrame:
 _LEVELS = ("h3", "h2", "h1", "g2", "h0")
 
 
-def _weighed(finals: DataFrame, counts: DataFrame, name: str, rare: float) -> DataFrame:
-    """Adds {name}_cut: whether the longest context that says something hardly ever ends, null if none does; and {name}_in, the last token's sightings inside.
+def _sightings(finals: DataFrame, counts: DataFrame) -> DataFrame:
+    """Adds {name}_i_{level} and {name}_e_{level}: what was seen inside and at ends of each context of a document's last trigrams."""
+    names = [(n, h) for n in ("w", "k", "f") for h in _LEVELS]
+    seen = counts.select(F.explode(F.array(*_LEVELS)).alias("h"), "inside", "ends").groupBy("h").agg(F.sum("inside").alias("inside"), F.sum("ends").alias("ends"))
+    asked = finals.select("doc_id", F.posexplode(F.array(*[F.col(f"{n}.{h}") for n, h in names])).alias("at", "h"))
+    found = asked.join(seen, "h").groupBy("doc_id").agg(*[F.max(F.when(F.col("at") == i, F.col(c))).alias(f"{n}_{c[0]}_{h}") for i, (n, h) in enumerate(names) for c in ("inside", "ends")])
+    return finals.drop("w", "k", "f").join(found, "doc_id", "left")
+
+
+def _judged(out: DataFrame, name: str) -> DataFrame:
+    """Adds {name}_cut: whether the longest context that says something hardly ever ends, null if none does, {name}_own_cut by the source alone; and {name}_in, the last
+    token's sightings inside.
 
     What the document and its copies add to the ends is left out. After a sentence's last mark the source alone says nothing.
     """
-    out, cut, own_cut = finals, F.lit(None).cast("boolean"), F.lit(None).cast("boolean")
-    for h in _LEVELS:
-        c = counts.groupBy(F.col(h).alias("_h")).agg(F.sum("inside").alias(f"_i_{h}"), F.sum("ends").alias(f"_e_{h}"))
-        out = out.join(c, F.col(f"{name}.{h}") == F.col("_h"), "left").drop("_h")
-    for h in reversed(_LEVELS):
-        ends = F.greatest(F.coalesce(f"_e_{h}", F.lit(0)) - F.col("own"), F.lit(0))
-        seen = ends + F.coalesce(f"_i_{h}", F.lit(0))
-        skip = F.lit(h == "h1" and name == "w") & F.col("word").rlike(r"^[^\p{L}\p{N}-]$")
-        judge = lambda c: F.when(skip | (seen < SEEN), c).when(ends >= rare * seen, False).when(seen >= SURE, True).otherwise(F.coalesce(c, F.lit(True)))  # noqa: B023,E731
-        cut, own_cut = judge(cut), judge(own_cut) if h[0] == "h" and h != "h0" else own_cut
-    return out.withColumn(f"{name}_cut", cut).withColumn(f"{name}_own_cut", own_cut).withColumn(f"{name}_in", F.coalesce("_i_h0", F.lit(0))).withColumn(f"{name}_own_in", F.coalesce("_i_h1", F.lit(0))).withColumn(f"{name}_ends", F.coalesce(F.col("_e_h1") - F.col("own"), F.lit(0))).withColumn(f"{name}_known", F.coalesce(F.col("_i_g2") + F.col("_e_g2") - F.col("own"), F.lit(0)) >= SEEN).drop(*[f"_{x}_{h}" for x in "ie" for h in _LEVELS])
+    inside, at_end = lambda h: F.coalesce(f"{name}_i_{h}", F.lit(0)), lambda h: F.greatest(F.coalesce(f"{name}_e_{h}", F.lit(0)) - F.col("own"), F.lit(0))
+    mark = F.col("word").rlike(r"^[^\p{L}\p{N}-]$")
+    verdicts = {}
+    for h in _LEVELS:  # 0: texts end there, 1: they surely don't, 2: none is seen to, null: too few are seen
+        v = F.when(at_end(h) + inside(h) < SEEN, None).when(at_end(h) >= RARE_END * (at_end(h) + inside(h)), 0).when(at_end(h) + inside(h) >= SURE, 1).otherwise(2)
+        verdicts[h] = F.when(~mark, v) if h == "h1" and name == "w" else v
+    out = out.withColumn("_all", F.array_compact(F.array(*verdicts.values()))).withColumn("_own", F.array_compact(F.array(*[verdicts[h] for h in ("h3", "h2", "h1")])))
+    first = lambda c: F.get(F.filter(c, lambda v: v != 2), F.lit(0))
+    cut, own_cut = (F.coalesce(first(c) == 1, F.when(F.size(c) > 0, True)) for c in ("_all", "_own"))
+    out = out.withColumn(f"{name}_cut", cut).withColumn(f"{name}_own_cut", own_cut).withColumn(f"{name}_in", inside("h0")).withColumn(f"{name}_own_in", inside("h1")).withColumn(f"{name}_ends", at_end("h1"))
+    return out.withColumn(f"{name}_known", inside("g2") + at_end("g2") >= SEEN).drop("_all", "_own", *[f"{name}_{x}_{h}" for x in "ie" for h in _LEVELS])
 
 
 def truncation_evidence(documents: DataFrame) -> DataFrame:
@@ -167,13 +177,14 @@ def truncation_evidence(documents: DataFrame) -> DataFrame:
 
     Null, empty and blank texts have no row; copies are each judged without each other's ends. An empty table gives no rows.
     """
-    counts = gram_counts(documents)
-    finals = final_grams(documents)
+    counts, finals = checkpointed(gram_counts(documents)), checkpointed(final_grams(documents))
     copies = finals.groupBy(F.col("copy").alias("_copy")).agg(F.count("*").alias("own"))
     d = finals.join(copies, F.col("copy") == F.col("_copy")).drop("_copy")
     texts = finals.groupBy(F.col("source").alias("_source")).agg(F.count("*").alias("texts"))
     d = d.join(texts, F.col("source") == F.col("_source")).drop("_source")
-    d = _weighed(_weighed(_weighed(d, counts, "w", RARE_END), counts, "k", RARE_END), counts, "f", RARE_END)
+    d = _sightings(d, counts)
+    for name in ("w", "k", "f"):
+        d = _judged(d, name)
     short = (F.length("word") <= 2) & ~F.col("w_known")
     piece = F.col("word").rlike(r"^\p{L}[\p{L}']*$") & ~F.col("word").rlike(r"\p{IsHan}") & (short | (F.col("w_in") < SEEN)) & ~F.col("w_known")
     common = (F.col("k_ends") >= 2) & (F.col("k_ends") >= CLOSING * F.col("texts")) & (F.col("k_own_in") * 50 < F.col("k_ends"))
