@@ -124,12 +124,9 @@ def signal_histogram(calls: DataFrame) -> DataFrame:
 
 def label_summary(labels: DataFrame) -> DataFrame:
     """(metric, key, n): outcomes, categories, recovery levels with 'none', and totals, of labels as run_labels gives them. One pass."""
-    rows = F.concat(
-        F.array(F.struct(F.lit("outcome").alias("metric"), F.col("outcome").alias("key")), F.struct(F.lit("level"), F.coalesce("highest_level", F.lit("none"))), F.struct(F.lit("total"), F.lit("runs"))),
-        F.when(F.col("is_toxic"), F.array(F.struct(F.lit("total").alias("metric"), F.lit("toxic").alias("key")))).otherwise(F.array(F.struct(F.lit("total").alias("metric"), F.lit("not toxic").alias("key")))),
-        F.when(F.col("n_recoveries") > 0, F.array(F.struct(F.lit("total").alias("metric"), F.lit("recovered").alias("key")))).otherwise(F.array().cast("array<struct<metric:string,key:string>>")),
-        F.transform("categories", lambda c: F.struct(F.lit("category").alias("metric"), c.alias("key"))),
-    )
+    row = lambda metric, key: F.struct(F.lit(metric).alias("metric"), key.alias("key"))
+    fixed = F.array(row("outcome", F.col("outcome")), row("level", F.coalesce("highest_level", F.lit("none"))), row("total", F.lit("runs")), row("total", F.when(F.col("is_toxic"), "toxic").otherwise("not toxic")), row("total", F.when(F.col("n_recoveries") > 0, "recovered")))
+    rows = F.filter(F.concat(fixed, F.transform("categories", lambda c: row("category", c))), lambda r: r["key"].isNotNull())
     return labels.select(F.explode(rows).alias("r")).groupBy("r.metric", "r.key").agg(F.count("*").alias("n"))
 
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tracefold.operators import drift, nested
+from tracefold.plans import run_queries
 from tracefold.session import checkpointed
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,8 +45,8 @@ def p6_unified(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p5_found, p5_attempts, p5_verification, p6_found, p6_unified)}
+    return {f.__name__: f for f in (p5_found, p5_attempts, p5_verification, p6_found, p6_unified)} | run_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(run_queries.SQL)
