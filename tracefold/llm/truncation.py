@@ -162,7 +162,7 @@ def _judged(out: DataFrame, name: str) -> DataFrame:
         verdicts[h] = F.when(~mark, v) if h == "h1" and name == "w" else v
     out = out.withColumn("_all", F.array_compact(F.array(*verdicts.values()))).withColumn("_own", F.array_compact(F.array(*[verdicts[h] for h in ("h3", "h2", "h1")])))
     first = lambda c: F.get(F.filter(c, lambda v: v != 2), F.lit(0))
-    cut, own_cut = (F.coalesce(first(c) == 1, F.when(F.size(c) > 0, True)) for c in ("_all", "_own"))
+    cut, own_cut = F.coalesce(first("_all") == 1, F.when(F.size("_all") > 0, True)), first("_own") == 1
     out = out.withColumn(f"{name}_cut", cut).withColumn(f"{name}_own_cut", own_cut).withColumn(f"{name}_in", inside("h0")).withColumn(f"{name}_own_in", inside("h1")).withColumn(f"{name}_ends", at_end("h1"))
     return out.withColumn(f"{name}_known", inside("g2") + at_end("g2") >= SEEN).drop("_all", "_own", *[f"{name}_{x}_{h}" for x in "ie" for h in _LEVELS])
 
