@@ -10,9 +10,10 @@ import re
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def params_hash(params: pd.Series) -> pd.Series:
     """16 hex digits of the SHA-256 of the params with sorted keys; null where they are null or no JSON."""
 
@@ -62,25 +63,25 @@ def extract_object(text: str | None) -> dict | None:
     return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def json_object_in(text: pd.Series) -> pd.Series:
     """The JSON object that a text holds, as JSON text; null if there is none."""
     return text.map(lambda t: (lambda o: None if o is None else json.dumps(o, ensure_ascii=False))(extract_object(t)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unified_diff(old: pd.Series, new: pd.Series, path: pd.Series) -> pd.Series:
     """The unified diff of two texts; '' if they are equal."""
     return pd.Series(["".join(difflib.unified_diff((a or "").splitlines(True), (b or "").splitlines(True), f"a/{p}", f"b/{p}")) for a, b, p in zip(old, new, path)], dtype=object)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def similar_lines(text: pd.Series, wanted: pd.Series) -> pd.Series:
     """The three lines of a text most like the first line wanted, of at least 0.6 by difflib's ratio."""
     return pd.Series([difflib.get_close_matches(((w or "").strip().splitlines() or [""])[0].strip(), [x.strip() for x in (t or "").splitlines()], n=3, cutoff=0.6) for t, w in zip(text, wanted)], dtype=object)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def python_syntax_error(text: pd.Series) -> pd.Series:
     """'line N: message' if the text isn't valid Python, else null."""
 
@@ -94,7 +95,7 @@ def python_syntax_error(text: pd.Series) -> pd.Series:
     return text.map(one)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def python_signatures(text: pd.Series) -> pd.Series:
     """'class A' and 'def f(a, b)' of a module's top level and classes, in order; null if it doesn't parse."""
 

@@ -14,7 +14,11 @@ from pyspark.sql.window import Window as W
 from tracefold.functions import diffs, steps
 
 LOOKAHEAD = 8
-_RUN = W.partitionBy("trajectory_id").orderBy("pos")
+
+
+def _in_run():
+    return W.partitionBy("trajectory_id").orderBy("pos")
+
 
 
 def _corrects(e: Column, c: Column) -> Column:
@@ -35,8 +39,8 @@ def recovery_events(calls: DataFrame) -> DataFrame:
     """
     fields = ("pos", "turn_id", "call_index_in_turn", "global_index", "tool", "params_hash", "target_file", "ok", "signal")
     looked = steps.is_investigation(F.col("tool"), F.col("ok")).cast("int")
-    c = calls.select("trajectory_id", *fields).withColumn("seen", F.sum(looked).over(_RUN)).withColumn("looked", looked)
-    ahead = F.collect_list(F.struct(*fields, "seen", "looked")).over(_RUN.rowsBetween(1, LOOKAHEAD))
+    c = calls.select("trajectory_id", *fields).withColumn("seen", F.sum(looked).over(_in_run())).withColumn("looked", looked)
+    ahead = F.collect_list(F.struct(*fields, "seen", "looked")).over(_in_run().rowsBetween(1, LOOKAHEAD))
     e = c.withColumn("ahead", ahead).where(~F.col("signal").isin("NONE", "BLOCKED")).withColumn("e", F.struct(*fields, "seen"))
     key = lambda x: F.struct(x["turn_id"], x["call_index_in_turn"])
     fits = F.filter("ahead", lambda x: (key(x) > key(F.col("e"))) & (x["signal"] == "NONE") & x["ok"] & _corrects(F.col("e"), x))

@@ -11,7 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-_RUN = W.partitionBy("trajectory_id").orderBy("pos")
+
+
+def _in_run():
+    return W.partitionBy("trajectory_id").orderBy("pos")
+
 
 
 def _EDIT() -> Column:
@@ -20,20 +24,20 @@ def _EDIT() -> Column:
 
 def last_of_turn() -> Column:
     """Whether a call is the last of its turn; rules that look at turn starts look at these."""
-    n = F.lead("turn_id").over(_RUN)
+    n = F.lead("turn_id").over(_in_run())
     return n.isNull() | (n != F.col("turn_id"))
 
 
 def edit_nudges(calls: DataFrame, window: int = 6) -> DataFrame:
     """Where a run has made `window` calls or more and none of the last `window` is an edit."""
-    w = _RUN.rowsBetween(-(window - 1), 0)
-    c = calls.select("trajectory_id", "pos", "turn_id", "tool").withColumn("e", F.max(_EDIT().cast("int")).over(w)).withColumn("n", F.row_number().over(_RUN)).withColumn("last", last_of_turn())
+    w = _in_run().rowsBetween(-(window - 1), 0)
+    c = calls.select("trajectory_id", "pos", "turn_id", "tool").withColumn("e", F.max(_EDIT().cast("int")).over(w)).withColumn("n", F.row_number().over(_in_run())).withColumn("last", last_of_turn())
     return c.where((F.col("e") == 0) & (F.col("n") >= window) & F.col("last")).select("trajectory_id", "pos", "turn_id")
 
 
 def test_nudges(calls: DataFrame, window: int = 5) -> DataFrame:
     """Where the last `window` calls hold an edit and no bash call; a window of 0 or less gives no rows."""
-    w = _RUN.rowsBetween(-(max(window, 1) - 1), 0)
+    w = _in_run().rowsBetween(-(max(window, 1) - 1), 0)
     c = calls.select("trajectory_id", "pos", "turn_id", "tool").withColumn("e", F.max(_EDIT().cast("int")).over(w)).withColumn("b", F.max((F.col("tool") == "bash").cast("int")).over(w)).withColumn("last", last_of_turn())
     return c.where((F.col("e") == 1) & (F.col("b") == 0) & F.col("last") & F.lit(window > 0)).select("trajectory_id", "pos", "turn_id")
 
@@ -41,13 +45,13 @@ def test_nudges(calls: DataFrame, window: int = 5) -> DataFrame:
 def numbered(calls: DataFrame) -> DataFrame:
     """The calls' numbers in their turn and in their run, from 0, by place."""
     t = W.partitionBy("trajectory_id", "turn_id").orderBy("pos")
-    return calls.select("trajectory_id", "pos", "turn_id", (F.row_number().over(t) - 1).cast("long").alias("in_turn"), (F.row_number().over(_RUN) - 1).cast("long").alias("in_run"))
+    return calls.select("trajectory_id", "pos", "turn_id", (F.row_number().over(t) - 1).cast("long").alias("in_turn"), (F.row_number().over(_in_run()) - 1).cast("long").alias("in_run"))
 
 
 def over_budget(calls: DataFrame, total: int = 100, step: int = 15, step_size: int = 10) -> DataFrame:
     """Calls beyond the budgets of the run or of their step; a step is step_size turns."""
     s = F.floor(F.col("turn_id") / step_size)
-    c = calls.select("trajectory_id", "pos", s.alias("step")).withColumn("before", F.row_number().over(_RUN) - 1).withColumn("in_step", F.row_number().over(W.partitionBy("trajectory_id", "step").orderBy("pos")) - 1)
+    c = calls.select("trajectory_id", "pos", s.alias("step")).withColumn("before", F.row_number().over(_in_run()) - 1).withColumn("in_step", F.row_number().over(W.partitionBy("trajectory_id", "step").orderBy("pos")) - 1)
     why = F.when(F.col("before") >= total, "total").when(F.col("in_step") >= step, "step")
     return c.withColumn("why", why).where("why IS NOT NULL").select("trajectory_id", "pos", "step", "why")
 
@@ -66,7 +70,7 @@ def files_touched(calls: DataFrame) -> DataFrame:
 
 def error_streaks(calls: DataFrame, least: int = 3) -> DataFrame:
     """Stretches of `least` or more failed calls in a row: (trajectory_id, first_pos, last_pos, n)."""
-    c = calls.select("trajectory_id", "pos", "ok").withColumn("g", F.sum(F.col("ok").cast("int")).over(_RUN)).where(~F.col("ok"))
+    c = calls.select("trajectory_id", "pos", "ok").withColumn("g", F.sum(F.col("ok").cast("int")).over(_in_run())).where(~F.col("ok"))
     return c.groupBy("trajectory_id", "g").agg(F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"), F.count("*").alias("n")).where(F.col("n") >= least).drop("g")
 
 
@@ -83,7 +87,7 @@ def blocked_by_errors(calls: DataFrame, limit: int = 3) -> DataFrame:
 
 def idle_advice(calls: DataFrame, first: int = 8, every: int = 5) -> DataFrame:
     """Calls at which a run that has made no edit is told so: the first-th call and each every-th after it."""
-    c = calls.select("trajectory_id", "pos", "tool").withColumn("edits", F.sum(_EDIT().cast("int")).over(_RUN)).withColumn("n", F.row_number().over(_RUN))
+    c = calls.select("trajectory_id", "pos", "tool").withColumn("edits", F.sum(_EDIT().cast("int")).over(_in_run())).withColumn("n", F.row_number().over(_in_run()))
     return c.where((F.col("edits") == 0) & (F.col("n") >= first) & ((F.col("n") - first) % every == 0)).select("trajectory_id", "pos")
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tracefold.operators import drift, nested
-from tracefold.plans import run_queries
+from tracefold.plans import data_queries, run_queries  # noqa: F401
 from tracefold.session import checkpointed
 
 Query = Callable[[SparkSession, str], DataFrame]

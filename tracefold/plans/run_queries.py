@@ -177,7 +177,8 @@ def outcome_summary(spark: SparkSession, sf: str) -> DataFrame:
     return detectors.label_summary(_labels(spark, sf))
 
 
-_ARM = F.coalesce((F.col("seed") % 3).cast("string"), F.lit("none"))
+def _arm():
+    return F.coalesce((F.col("seed") % 3).cast("string"), F.lit("none"))
 
 
 @query(
@@ -188,13 +189,13 @@ _ARM = F.coalesce((F.col("seed") % 3).cast("string"), F.lit("none"))
 )
 def ablation_by_arm(spark: SparkSession, sf: str) -> DataFrame:
     c, r = calls(spark, sf), runs(spark, sf)
-    out = detectors.arm_aggregates(_labels(spark, sf), detectors.call_flags(c), r, _ARM)
+    out = detectors.arm_aggregates(_labels(spark, sf), detectors.call_flags(c), r, _arm())
     return out.select("arm", "n_runs", *[F.round(x, 6).alias(x) for x in out.columns[2:]])
 
 
 @query(_ALL + " SELECT coalesce(CAST(seed % 3 AS VARCHAR), 'none') AS arm, outcome, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (PARTITION BY coalesce(CAST(seed % 3 AS VARCHAR), 'none')), 6) AS pct FROM lab GROUP BY 1, 2", runs_view=True)
 def outcome_pct_by_arm(spark: SparkSession, sf: str) -> DataFrame:
-    return detectors.outcome_shares(_labels(spark, sf), runs(spark, sf), _ARM).withColumn("pct", F.round("pct", 6))
+    return detectors.outcome_shares(_labels(spark, sf), runs(spark, sf), _arm()).withColumn("pct", F.round("pct", 6))
 
 
 _LAST = "coalesce(lead(turn_id) OVER (PARTITION BY trajectory_id ORDER BY pos) <> turn_id, true)"

@@ -49,37 +49,63 @@ def assembled_calls(chunks: DataFrame) -> DataFrame:
 GUARD = "trajectory_id string, pos long, verdict string"
 
 
+class Guard:
+    """What a run did so far, and what a guard says to its next call.
+
+    verdict: over_total (too many calls), too_many_errors (so many failures in a row; counting starts anew), repeated (the same tool and params so often
+    before) or ok. A call that isn't ok is not made, so it changes nothing else.
+    """
+
+    def __init__(self, total: int, errors: int, repeats: int, made: int = 0, fails: int = 0, seen: str = ""):
+        self.limits, self.made, self.fails = (total, errors, repeats), made, fails
+        self.actions = {h: int(n) for h, n in (x.rsplit("=", 1) for x in seen.split("\n") if x)}
+
+    def verdict(self, tool: str, params_hash: str, ok: bool) -> str:
+        total, errors, repeats = self.limits
+        action = f"{tool}:{params_hash}"
+        if self.made >= total:
+            return "over_total"
+        if self.fails >= errors:
+            self.fails = 0
+            return "too_many_errors"
+        if params_hash and self.actions.get(action, 0) >= repeats:
+            return "repeated"
+        self.made += 1
+        self.fails = 0 if ok else self.fails + 1
+        self.actions[action] = self.actions.get(action, 0) + 1
+        return "ok"
+
+    def state(self) -> tuple[int, int, str]:
+        return self.made, self.fails, "\n".join(f"{h}={n}" for h, n in self.actions.items())
+
+
 def guarded(calls: DataFrame, total: int = 100, errors: int = 3, repeats: int = 2) -> DataFrame:
-    """(trajectory_id, pos, verdict): each call with what a guard says to it, given what the run did before.
+    """(trajectory_id, pos, verdict): each call with what a guard says to it, given what the run did before (see Guard).
 
-    verdict: over_total (too many calls), too_many_errors (so many failures in a row; counting starts anew), repeated (the same tool and params
-    so often before) or ok. A call that isn't ok is not made, so it changes nothing else. State per run: counts and the hashes of its actions; a run's state goes after a
-    day without calls. Within a batch calls come in order of pos. The same function serves a batch.
+    A stream keeps a state per run, and takes a batch's calls in order of pos. A batch is sorted by run and pos and folded as it is read, so no
+    run is held whole. Null tools, hashes and flags are empty and false.
     """
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    kept = calls.select("trajectory_id", "pos", text("tool").alias("tool"), text("params_hash").alias("params_hash"), F.coalesce("ok", F.lit(False)).alias("ok"))
+    if not calls.isStreaming:
+
+        def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            run, guard = None, None
+            for b in batches:
+                out = []
+                for r in b.itertuples():
+                    if guard is None or r.trajectory_id != run:
+                        run, guard = r.trajectory_id, Guard(total, errors, repeats)
+                    out.append(guard.verdict(r.tool, r.params_hash, r.ok))
+                yield pd.DataFrame({"trajectory_id": b["trajectory_id"], "pos": b["pos"], "verdict": out})
+
+        return kept.where("trajectory_id IS NOT NULL").repartition("trajectory_id").sortWithinPartitions("trajectory_id", "pos").mapInPandas(fold, GUARD)
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        made, fails, seen = state.get if state.exists else (0, 0, "")
-        hashes: dict[str, int] = {}
-        for x in seen.split("\n") if seen else []:
-            h, n = x.rsplit("=", 1)
-            hashes[h] = int(n)
+        guard = Guard(total, errors, repeats, *(state.get if state.exists else ()))
         rows = pd.concat(list(frames)).sort_values("pos")
-        out = []
-        for r in rows.itertuples():
-            action = f"{r.tool}:{r.params_hash}"
-            if made >= total:
-                verdict = "over_total"
-            elif fails >= errors:
-                verdict, fails = "too_many_errors", 0
-            elif r.params_hash and hashes.get(action, 0) >= repeats:
-                verdict = "repeated"
-            else:
-                verdict, made = "ok", made + 1
-                fails = 0 if r.ok else fails + 1
-                hashes[action] = hashes.get(action, 0) + 1
-            out.append((key[0], int(r.pos), verdict))
-        state.update((made, fails, "\n".join(f"{h}={n}" for h, n in hashes.items())))
+        out = [(key[0], int(r.pos), guard.verdict(r.tool, r.params_hash, r.ok)) for r in rows.itertuples()]
+        state.update(guard.state())
         yield pd.DataFrame(out, columns=["trajectory_id", "pos", "verdict"])
 
-    kept = calls.select("trajectory_id", "pos", "tool", "params_hash", "ok")
     return kept.groupBy("trajectory_id").applyInPandasWithState(step, GUARD, "made long, fails long, seen string", "append", GroupStateTimeout.NoTimeout)
