@@ -35,9 +35,10 @@ def _path(c: Column) -> Column:
 
 
 def _command(c: Column) -> Column:
-    # white space counts inside quotes only
-    c = F.regexp_replace(c, r"(\"(?:[^\"\\]|\\.)*\"|'[^']*')|\s+", "$1 ")
-    c = F.regexp_replace(c, r"(?<=[^\s]) {2,}", " ")
+    # White space counts inside quotes only: each quoted part and each other space gets a mark, a space after a quoted part so has two.
+    c = F.regexp_replace(c, r"(\"(?:[^\"\\]|\\.)*+\"|'[^']*+')|\s+", "$1\u0004")
+    c = F.regexp_replace(c, "([\"'])\u0004{2,}", "$1 ")
+    c = F.regexp_replace(F.regexp_replace(c, "([\"'])\u0004", "$1"), "\u0004+", " ")
     # the spelling of paths, outside of quotes' inner words and addresses
     c = F.regexp_replace(c, r"(?<![\w.:/'\"])(?:\./)+(?=[\w.])", "")
     c = F.regexp_replace(c, r"(?<=[\w.\-])/(?:\.?/)+(?=[\w.])", "/")
