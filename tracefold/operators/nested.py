@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracefold.session import spread
+
 #: Objects whose members are data and not columns of a table.
 OPEN = ("params", "metadata")
 _KIND = {str: "string", bool: "boolean", int: "bigint", float: "double", dict: "object", list: "array", type(None): "null"}
@@ -112,7 +114,7 @@ class FlatTables:
 
     def __init__(self, records: DataFrame, key: str, columns: list[str]):
         self.key, self.columns = key, columns
-        self.records = records.select(F.col(key).cast("long").alias("_key"), *[F.col(c).cast("string").alias(c) for c in columns])
+        self.records = spread(records, key).select(F.col(key).cast("long").alias("_key"), *[F.col(c).cast("string").alias(c) for c in columns])
         self.schemas: dict[str, dict[str, set[str]]] = {c: {} for c in columns}
 
         def infer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

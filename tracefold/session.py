@@ -41,3 +41,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df over all cores, by a hash of the keys, if it is read in fewer pieces than there are cores; larger inputs stay as they are read.
+
+    For work that costs far more than moving the rows: a table in one small file would keep all cores but one idle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
