@@ -43,6 +43,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def apart(df: DataFrame, *keys: str) -> DataFrame:
+    """df in as many pieces as there are cores (or shuffle partitions, if more), for a few rows of much work each, which would else be put together."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """df over all cores, by a hash of the keys, if it is read in fewer pieces than there are cores; larger inputs stay as they are read.
 
