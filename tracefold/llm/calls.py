@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracefold.functions.steps import SIGNALS, TOOLS, plain_signal, plain_tool  # noqa: F401
+from tracefold.session import spread
 
 #: Positions of a run are cut into chunks of so many indices, so that no run lands in one task whole.
 CHUNK = 512
@@ -77,7 +78,7 @@ def first_delivered(calls: DataFrame, **columns: Column) -> DataFrame:
     global_index can't be placed and are left out; an unknown time of delivery counts as latest.
     One shuffle by (tid, c), which later windows over the same keys reuse.
     """
-    rows = calls.where("trajectory_id IS NOT NULL AND global_index IS NOT NULL").select(
+    rows = spread(calls, "trajectory_id", "global_index").where("trajectory_id IS NOT NULL AND global_index IS NOT NULL").select(
         F.col("trajectory_id").alias("tid"),
         F.floor(F.col("global_index") / CHUNK).alias("c"),
         F.col("global_index").alias("g"),

@@ -10,6 +10,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from tracefold.session import spread
+
 #: Words of a search pattern, of its blocks, and of the shortest passage that counts.
 M, B, PASSAGE = 5, 2, 20
 #: One word in so many may differ.
@@ -244,7 +246,7 @@ def eval_leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     rows = items.where("text IS NOT NULL AND item_id IS NOT NULL").select("item_id", "text").distinct().orderBy("item_id", "text").collect()
     texts = [words(r["text"]) for r in rows]
     forms = form_places(texts)
-    docs = documents.where("text IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "text")
+    docs = spread(documents.select("doc_id", "text"), "doc_id").where("text IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "text")
     out = None
     start = 0
     while start < len(rows) or out is None:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracefold.functions.names import snake
-from tracefold.session import checkpointed
+from tracefold.session import checkpointed, spread
 
 #: A context with fewer sightings says nothing; the shorter one is asked then. With fewer than SURE sightings it can show that a text
 #: may end there, but not that it may not: no end among a few sightings is chance.
@@ -104,7 +104,7 @@ def _grams(tokens: str, of: str, every: bool) -> Column:
 
 def _prepared(documents: DataFrame) -> DataFrame:
     """Each text as word tokens with line breaks between, and as line kinds. forms has the open form at each of its places inside, and what is open at the end."""
-    d = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.coalesce(snake("source"), F.lit("")).alias("source"), "text").where(F.col("text").rlike(r"\S"))
+    d = spread(documents.select("doc_id", "source", "text"), "doc_id").where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.coalesce(snake("source"), F.lit("")).alias("source"), "text").where(F.col("text").rlike(r"\S"))
     d = d.withColumn("bare", without_signs(F.col("text")))
     d = _with_state(d).withColumn("classed", _classed(F.col("bare")))
     d = d.withColumn("words", F.regexp_extract_all(F.lower("classed"), F.lit(_TOKEN), F.lit(0)))
