@@ -27,7 +27,7 @@ WORDS_A_PASS = 400_000
 GAP, OTHER = 0.55, 0.6
 LEAST_SCORE = PASSAGE - PASSAGE // ONE_IN * (1 + OTHER) - 0.01
 
-_PREFIX = re.compile(r"^[ \t]*(?:(?:[>|#*+\-]+|\d+[ \t]*[|:)]|\d+\.(?=[ \t])|\[?\d{2}:\d{2}:\d{2}\]?|//+)[ \t]*)+", re.M)
+_PREFIX = re.compile(r"^[ \t]*(?:(?:[>|#*+\-]+|\d+[ \t]*[|:)]|\d+\.(?=[ \t])|\[?\d{2}:\d{2}:\d{2}\]?(?:[ \t]+[\w\-]+(?:[ \t]+finished,|[ \t]+->))?|//+|[A-Za-z_]{1,12}[:>](?=[ \t]))[ \t]*)+", re.M)
 _TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,80}>|&(?:[a-z]{2,6}|#\d{1,5});|\\[nrt](?![a-z]{2,}\\)")
 _WORD = re.compile(r"[^\W_]+(?:_+[^\W_]+)*")
 
