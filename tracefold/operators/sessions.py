@@ -77,12 +77,14 @@ def error_streaks(calls: DataFrame, least: int = 3) -> DataFrame:
 def blocked_by_errors(calls: DataFrame, limit: int = 3) -> DataFrame:
     """(trajectory_id, n_blocks): how often a guard blocks the next call after `limit` failures in a row and starts to count anew.
 
-    A blocked call isn't made, so it neither fails nor succeeds: after each block counting starts from 0. A fold over the run's calls in order.
+    A blocked call isn't made, so it neither fails nor succeeds: after each block counting starts from 0. Of a streak of failures every
+    (limit + 1)-th is blocked, and the call after a streak that stopped at the limit. Streaks are summed, so no run's calls are gathered.
     """
-    runs = calls.groupBy("trajectory_id").agg(F.array_sort(F.collect_list(F.struct("pos", "ok"))).alias("x"))
-    start = F.struct(F.lit(0).alias("fails"), F.lit(0).alias("blocks"))
-    fold = F.aggregate("x", start, lambda s, c: F.struct(F.when(s["fails"] >= limit, 0).when(c["ok"], 0).otherwise(s["fails"] + 1).cast("int").alias("fails"), F.when(s["fails"] >= limit, s["blocks"] + 1).otherwise(s["blocks"]).cast("int").alias("blocks")), lambda s: s["blocks"])
-    return runs.select("trajectory_id", fold.cast("long").alias("n_blocks")).where("n_blocks > 0")
+    c = calls.select("trajectory_id", "pos", "ok").withColumn("g", F.sum(F.col("ok").cast("int")).over(_in_run()))
+    streaks = c.groupBy("trajectory_id", "g").agg(F.count_if(~F.col("ok")).alias("n"))
+    at_limit = lambda n: (n % (limit + 1) == limit).cast("long")
+    blocks = F.sum(F.floor(F.col("n") / (limit + 1)) + at_limit(F.col("n"))) - at_limit(F.max_by("n", "g"))
+    return streaks.groupBy("trajectory_id").agg(blocks.cast("long").alias("n_blocks")).where("n_blocks > 0")
 
 
 def idle_advice(calls: DataFrame, first: int = 8, every: int = 5) -> DataFrame:
