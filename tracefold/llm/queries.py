@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracefold.llm import contamination, mixing, patterns, repeats, sampling, splits, truncation
+from tracefold.sources.views import CALLS_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -112,9 +113,30 @@ SELECT record_id, min(record_id) OVER (PARTITION BY root) AS group_id FROM g WHE
 """
 
 
+P2_SQL = f"""
+WITH {CALLS_SQL},
+s AS (SELECT trajectory_id AS r, pos, tool || ':' || signal AS step, CAST(signal <> 'NONE' AS INT) AS e FROM calls),
+t3 AS (SELECT a.r, c.pos, a.step || '>' || b.step || '>' || c.step AS pattern, a.e + b.e + c.e AS e
+  FROM s a JOIN s b ON b.r = a.r AND b.pos BETWEEN a.pos + 1 AND a.pos + 3 JOIN s c ON c.r = a.r AND c.pos BETWEEN b.pos + 1 AND b.pos + 3),
+t4 AS (SELECT t3.r, t3.pattern || '>' || d.step AS pattern, t3.e + d.e AS e FROM t3 JOIN s d ON d.r = t3.r AND d.pos BETWEEN t3.pos + 1 AND t3.pos + 3),
+n AS (SELECT pattern, n_steps, count(DISTINCT r) AS n_runs FROM (SELECT r, pattern, e, 3 AS n_steps FROM t3 UNION ALL SELECT r, pattern, e, 4 FROM t4) WHERE e >= 2 GROUP BY ALL)
+"""
+
+P3_REPORT_SQL = (
+    P3_FOUND_SQL.split("SELECT t.outcome, CAST")[0]
+    + """,
+r AS (SELECT t.outcome, t.contains_recovery, t.highest_recovery_level, t.target_permille, coalesce(n.n, 0) AS available, greatest(CAST(ceil(t.target_permille * s.size / 1000.0) AS BIGINT), t.min_rows) AS wanted
+  FROM sample_targets t CROSS JOIN s LEFT JOIN n ON n.outcome = t.outcome AND n.rec = t.contains_recovery AND n.level = t.highest_recovery_level)
+SELECT outcome, contains_recovery, highest_recovery_level, wanted, available, least(wanted, available) AS sampled, greatest(wanted - available, 0) AS deficit,
+  round(1000.0 * least(wanted, available) / sum(least(wanted, available)) OVER (), 3) AS actual_permille, target_permille FROM r
+"""
+)
+
+
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (p1_found, p1_collapsed, p2_found, p2_support, p3_found, p3_sample, p3_report, p4_found, p4_splits, p7_found, p7_items, p8_found, p8_mixture, p8_report, p9_found, p9_by_source)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p3_found": P3_FOUND_SQL, "p4_found": P4_FOUND_SQL}
+    frequent = " FROM n WHERE n_runs >= 0.1 * (SELECT count(DISTINCT trajectory_id) FROM calls)"
+    return {"p2_found": P2_SQL + "SELECT pattern" + frequent, "p2_support": P2_SQL + "SELECT pattern, n_steps, n_runs" + frequent, "p3_found": P3_FOUND_SQL, "p3_report": P3_REPORT_SQL, "p4_found": P4_FOUND_SQL}
