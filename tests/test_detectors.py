@@ -61,7 +61,7 @@ def test_unread_edits(spark):
 
 def test_empty_calls(spark):
     d = spark.createDataFrame([], SCHEMA)
-    for f in (detectors.recovery_events, detectors.unread_edits, detectors.call_flags, sessions.error_streaks, sessions.blocked_by_errors, sessions.numbered):
+    for f in (detectors.recovery_events, detectors.unread_edits, detectors.call_facts, sessions.error_streaks, sessions.blocked_by_errors, sessions.numbered):
         assert f(d).count() == 0
 
 

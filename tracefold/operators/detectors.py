@@ -30,8 +30,8 @@ def _corrects(e: Column, c: Column) -> Column:
     return (same | target | tactics | c["tool"].isin("file_edit", "file_create")) & (~same | (e["params_hash"] != c["params_hash"]))
 
 
-def recovery_events(calls: DataFrame) -> DataFrame:
-    """(trajectory_id, error_pos, correction_pos, error_index, correction_index, error_signal, level, investigation_count): each error with its nearest correction.
+def with_correction(calls: DataFrame) -> DataFrame:
+    """calls with x, an error's correction (pos, global_index, level, investigation_count), null where there is none.
 
     An error has a signal other than NONE and BLOCKED; its correction is the first of the next LOOKAHEAD calls that is later by (turn_id,
     call_index_in_turn), succeeded with signal NONE and corrects it. Two or more investigations between make level L3; the same tool
@@ -39,16 +39,22 @@ def recovery_events(calls: DataFrame) -> DataFrame:
     """
     fields = ("pos", "turn_id", "call_index_in_turn", "global_index", "tool", "params_hash", "target_file", "ok", "signal")
     looked = steps.is_investigation(F.col("tool"), F.col("ok")).cast("int")
-    c = calls.select("trajectory_id", *fields).withColumn("seen", F.sum(looked).over(_in_run())).withColumn("looked", looked)
-    ahead = F.collect_list(F.struct(*fields, "seen", "looked")).over(_in_run().rowsBetween(1, LOOKAHEAD))
-    e = c.withColumn("ahead", ahead).where(~F.col("signal").isin("NONE", "BLOCKED")).withColumn("e", F.struct(*fields, "seen"))
+    c = calls.withColumn("looked", looked).withColumn("seen", F.sum("looked").over(_in_run()))
+    c = c.withColumn("ahead", F.collect_list(F.struct(*fields, "seen", "looked")).over(_in_run().rowsBetween(1, LOOKAHEAD))).withColumn("e", F.struct(*fields, "seen"))
     key = lambda x: F.struct(x["turn_id"], x["call_index_in_turn"])
     fits = F.filter("ahead", lambda x: (key(x) > key(F.col("e"))) & (x["signal"] == "NONE") & x["ok"] & _corrects(F.col("e"), x))
-    m = e.withColumn("x", F.try_element_at(fits, F.lit(1))).where("x IS NOT NULL")
-    between = F.col("x.seen") - F.col("x.looked") - F.col("e.seen")
-    same = (F.col("e.tool") == F.col("x.tool")) & (F.col("e.target_file") == F.col("x.target_file"))
+    c = c.withColumn("f", F.when(~F.col("signal").isin("NONE", "BLOCKED"), F.try_element_at(fits, F.lit(1))))
+    between = F.col("f.seen") - F.col("f.looked") - F.col("e.seen")
+    same = (F.col("e.tool") == F.col("f.tool")) & (F.col("e.target_file") == F.col("f.target_file"))
     level = F.when(between >= 2, "L3").when(same, "L1").otherwise("L2")
-    return m.select("trajectory_id", F.col("pos").alias("error_pos"), F.col("x.pos").alias("correction_pos"), F.col("global_index").alias("error_index"), F.col("x.global_index").alias("correction_index"), F.col("signal").alias("error_signal"), level.alias("level"), between.alias("investigation_count"))
+    x = F.when(F.col("f").isNotNull(), F.struct(F.col("f.pos").alias("pos"), F.col("f.global_index").alias("global_index"), level.alias("level"), between.alias("investigation_count")))
+    return c.withColumn("x", x).drop("looked", "seen", "ahead", "e", "f")
+
+
+def recovery_events(calls: DataFrame) -> DataFrame:
+    """(trajectory_id, error_pos, correction_pos, error_index, correction_index, error_signal, level, investigation_count): each error that is corrected, see with_correction."""
+    m = with_correction(calls.drop("content", "params")).where("x IS NOT NULL")
+    return m.select("trajectory_id", F.col("pos").alias("error_pos"), F.col("x.pos").alias("correction_pos"), F.col("global_index").alias("error_index"), F.col("x.global_index").alias("correction_index"), F.col("signal").alias("error_signal"), F.col("x.level").alias("level"), F.col("x.investigation_count").alias("investigation_count"))
 
 
 def recovery_by_run(calls: DataFrame) -> DataFrame:
@@ -70,21 +76,31 @@ def unread_edits(calls: DataFrame) -> DataFrame:
     return c.where((F.col("tool") == "file_edit") & (F.col("first_read").isNull() | (F.col("first_read") > F.col("pos")))).select("trajectory_id", "pos", "target_file")
 
 
-def call_flags(calls: DataFrame) -> DataFrame:
-    """Per run: which patterns its calls show. One pass, one exchange by run; files are summed first where they are keyed by file."""
-    refs = F.when(F.col("signal").isin("TEST_FAILURE", "RUNTIME_ERROR", "SYNTAX_ERROR"), diffs.file_refs(F.col("content")))
-    edits = F.when((F.col("tool") == "file_edit") & (F.col("target_file") != ""), F.replace(F.col("target_file"), F.lit("\\"), F.lit("/")))
-    logic = (F.col("signal") == "TEST_FAILURE") & F.col("content").rlike(steps.CASELESS + steps.ASSERTION) & ~F.col("content").rlike(steps.PLAIN + steps.NOT_LOGIC)
-    base = calls.groupBy("trajectory_id").agg(
-        F.bool_or(logic).alias("logic_failure"), F.bool_or(F.col("signal") == "TEST_FAILURE").alias("test_failure"), F.bool_or(steps.runs_tests(F.col("tool"), F.col("params"))).alias("ran_tests"),
-        F.flatten(F.collect_set(refs)).alias("named"), F.collect_set(edits).alias("edited"), F.count("*").alias("n_calls"), F.count_if(F.col("tool").isin("file_edit", "file_create")).alias("n_edits"), F.count_if(F.col("tool") == "bash").alias("n_bash"),
+def call_facts(calls: DataFrame) -> DataFrame:
+    """Per run: which patterns its calls show, its recoveries, and how many calls, edits and bash calls it made.
+
+    One scan and one exchange by run: calls get their correction by a window, are summed by file, then by run, all in the same partitions. A run edits what it
+    hadn't read if its first edit of a file comes before the file's first read; a file's last decisive edit tells whether it is broken.
+    """
+    c = with_correction(calls)
+    tool, signal, content, no = F.col("tool"), F.col("signal"), F.col("content"), F.lit(False)
+    edit = tool.isin("file_edit", "file_create")
+    refs = F.when(signal.isin("TEST_FAILURE", "RUNTIME_ERROR", "SYNTAX_ERROR"), diffs.file_refs(content))
+    logic = (signal == "TEST_FAILURE") & content.rlike(steps.CASELESS + steps.ASSERTION) & ~content.rlike(steps.PLAIN + steps.NOT_LOGIC)
+    state = F.when(edit & F.col("target_file").endswith(".py"), F.when(signal == "SYNTAX_ERROR", True).when(F.col("ok") & (signal == "NONE"), False))
+    by_file = c.withColumn("state", state).groupBy("trajectory_id", "target_file").agg(
+        F.max_by("state", F.when(F.col("state").isNotNull(), F.col("pos"))).alias("broken"), F.min(F.when((tool == "file_read") & F.col("ok"), F.col("pos"))).alias("read"), F.min(F.when(tool == "file_edit", F.col("pos"))).alias("edit"),
+        F.bool_or(logic).alias("logic"), F.bool_or(signal == "TEST_FAILURE").alias("tests"), F.bool_or(steps.runs_tests(tool, F.col("params"))).alias("ran"), F.array_distinct(F.flatten(F.collect_set(refs))).alias("refs"), F.count("*").alias("n"), F.count_if(edit).alias("n_e"),
+        F.count_if(tool == "bash").alias("n_b"), F.count("x").alias("n_r"), F.max("x.level").alias("level"),
+    )
+    named = F.col("target_file") != ""
+    per_run = by_file.groupBy("trajectory_id").agg(
+        F.bool_or(named & F.col("edit").isNotNull() & (F.col("read").isNull() | (F.col("edit") < F.col("read")))).alias("a1"), F.coalesce(F.bool_or("broken"), no).alias("b22"), F.bool_or("logic").alias("logic_failure"), F.bool_or("tests").alias("test_failure"), F.bool_or("ran").alias("ran_tests"),
+        F.flatten(F.collect_list("refs")).alias("named"), F.collect_set(F.when(named & F.col("edit").isNotNull(), F.replace("target_file", F.lit("\\"), F.lit("/")))).alias("edited"), F.sum("n").alias("n_calls"), F.sum("n_e").alias("n_edits"), F.sum("n_b").alias("n_bash"),
+        F.sum("n_r").alias("n_recoveries"), F.max("level").alias("highest_level"),
     )
-    broken = unresolved_syntax(calls).select("trajectory_id").distinct().withColumn("b22", F.lit(True))
-    unread = unread_edits(calls).select("trajectory_id").distinct().withColumn("a1", F.lit(True))
     a2 = (F.size("named") > 0) & (F.size("edited") > 0) & ~F.arrays_overlap("named", "edited")
-    flags = base.join(broken, "trajectory_id", "left").join(unread, "trajectory_id", "left")
-    no = F.lit(False)
-    return flags.select("trajectory_id", F.coalesce("a1", no).alias("a1"), F.coalesce(a2, no).alias("a2"), F.coalesce("b22", no).alias("b22"), "logic_failure", "test_failure", "ran_tests", "n_calls", "n_edits", "n_bash")
+    return per_run.withColumn("a2", F.coalesce(a2, no)).drop("named", "edited")
 
 
 def outcome(toxic: Column, tier1: Column, tier2: Column, command: Column, recovered: Column) -> Column:
@@ -106,9 +122,8 @@ def run_labels(calls: DataFrame, runs: DataFrame, tasks: DataFrame) -> DataFrame
     """
     no = F.lit(False)
     gold = tasks.groupBy("instance_id").agg(F.max("gold_patch").alias("gold"))
-    f = call_flags(calls).withColumn("run", F.lower("trajectory_id")).drop("trajectory_id")
-    r = recovery_by_run(calls).select(F.lower("trajectory_id").alias("run"), "n_recoveries", "highest_level")
-    d = runs.join(f, "run", "left").join(r, "run", "left").join(gold, "instance_id", "left")
+    f = call_facts(calls).withColumn("run", F.lower("trajectory_id")).drop("trajectory_id")
+    d = runs.join(f, "run", "left").join(gold, "instance_id", "left")
     cmd, t1, t2 = F.col("tier2_command"), F.col("tier1_pass"), F.col("tier2_pass")
     b22 = F.coalesce("b22", no)
     c2 = F.col("claimed") & ~t1
@@ -116,6 +131,7 @@ def run_labels(calls: DataFrame, runs: DataFrame, tasks: DataFrame) -> DataFrame
     d = d.select(
         "run", "instance_id", "model", "seed", F.coalesce("a1", no).alias("a1"), F.coalesce("a2", no).alias("a2"), diffs.incomplete_fix(F.col("final_diff"), F.col("gold")).alias("b11"), ((cmd != "") & ~F.coalesce("ran_tests", no)).alias("b12"),
         b21.alias("b21"), b22.alias("b22"), (~F.col("claimed") & t2 & (cmd != "")).alias("c1"), c2.alias("c2"), F.coalesce("n_recoveries", F.lit(0)).alias("n_recoveries"), "highest_level", "tier1_pass", "tier2_pass", "tier2_command",
+        *[F.coalesce(n, F.lit(0)).alias(n) for n in ("n_calls", "n_edits", "n_bash")], "input_tokens", "output_tokens",
     )
     names = (("a1", "A1"), ("a2", "A2"), ("b11", "B1.1"), ("b12", "B1.2"), ("b21", "B2.1"), ("b22", "B2.2"), ("c1", "C1"), ("c2", "C2"))
     d = d.withColumn("categories", F.array_compact(F.array(*[F.when(F.col(c), n) for c, n in names]))).withColumn("is_toxic", F.col("c2") | F.col("b22"))
@@ -134,26 +150,22 @@ def label_summary(labels: DataFrame) -> DataFrame:
     return labels.select(F.explode(rows).alias("r")).groupBy("r.metric", "r.key").agg(F.count("*").alias("n"))
 
 
-def arm_aggregates(labels: DataFrame, flags: DataFrame, runs: DataFrame, arm: Column, arms: list[str] | None = None) -> DataFrame:
-    """Per experiment arm: runs, mean calls, edits, bash calls, the mean of their ratios, mean tokens, success and recovery rates; named arms without runs have zeros.
+def arm_aggregates(labels: DataFrame, arm: Column, arms: list[str] | None = None) -> DataFrame:
+    """Per experiment arm of run_labels: runs, mean calls, edits, bash calls, the mean of their ratios, mean tokens, success and recovery rates; named arms without runs have zeros.
 
-    Runs without a label have outcome unknown and count in every mean; the ratio is of edits to bash calls, one at least.
+    The ratio is of edits to bash calls, one at least. A null outcome is no success.
     """
-    f = flags.select(F.lower("trajectory_id").alias("run"), "n_calls", "n_edits", "n_bash")
-    l = labels.select("run", "outcome", "n_recoveries")
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    d = runs.withColumn("arm", arm).join(f, "run", "left").join(l, "run", "left").withColumn("outcome", F.coalesce("outcome", F.lit("unknown")))
-    out = d.groupBy("arm").agg(
-        F.count("*").alias("n_runs"), F.avg(zero("n_calls")).alias("avg_calls"), F.avg(zero("n_edits")).alias("avg_edits"), F.avg(zero("n_bash")).alias("avg_bash"), F.avg(zero("n_edits") / F.greatest(zero("n_bash"), F.lit(1))).alias("edit_bash_ratio"),
-        F.avg("input_tokens").alias("avg_input_tokens"), F.avg("output_tokens").alias("avg_output_tokens"), F.avg(F.col("outcome").isin("verified_one_shot", "verified_with_recovery").cast("double")).alias("success_rate"), F.avg((zero("n_recoveries") > 0).cast("double")).alias("recovery_rate"),
+    out = labels.withColumn("arm", arm).groupBy("arm").agg(
+        F.count("*").alias("n_runs"), F.avg("n_calls").alias("avg_calls"), F.avg("n_edits").alias("avg_edits"), F.avg("n_bash").alias("avg_bash"), F.avg(F.col("n_edits") / F.greatest("n_bash", F.lit(1))).alias("edit_bash_ratio"), F.avg("input_tokens").alias("avg_input_tokens"),
+        F.avg("output_tokens").alias("avg_output_tokens"), F.avg(F.coalesce(F.col("outcome").isin("verified_one_shot", "verified_with_recovery"), F.lit(False)).cast("double")).alias("success_rate"), F.avg((F.col("n_recoveries") > 0).cast("double")).alias("recovery_rate"),
     )
     if arms:
-        named = runs.sparkSession.createDataFrame([(a,) for a in arms], "arm string")
+        named = labels.sparkSession.createDataFrame([(a,) for a in arms], "arm string")
         out = named.join(out, "arm", "left").na.fill(0)
     return out
 
 
-def outcome_shares(labels: DataFrame, runs: DataFrame, arm: Column) -> DataFrame:
-    """(arm, outcome, n, pct): the outcomes of each arm in percent of all its runs."""
-    d = runs.withColumn("arm", arm).join(labels.select("run", "outcome"), "run", "left").groupBy("arm", F.coalesce("outcome", F.lit("unknown")).alias("outcome")).agg(F.count("*").alias("n"))
+def outcome_shares(labels: DataFrame, arm: Column) -> DataFrame:
+    """(arm, outcome, n, pct): the outcomes of each arm in percent of all its runs; a null outcome is unknown."""
+    d = labels.withColumn("arm", arm).groupBy("arm", F.coalesce("outcome", F.lit("unknown")).alias("outcome")).agg(F.count("*").alias("n"))
     return d.withColumn("pct", 100.0 * F.col("n") / F.sum("n").over(W.partitionBy("arm")))

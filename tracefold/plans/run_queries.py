@@ -105,7 +105,7 @@ SELECT DISTINCT trajectory_id FROM refs WHERE trajectory_id IN (SELECT trajector
   AND trajectory_id NOT IN (SELECT r.trajectory_id FROM refs r JOIN edits e ON e.trajectory_id = r.trajectory_id AND replace(e.f, '\', '/') = replace(r.f, '\', '/'))"""
 )
 def a2_mislocalized(spark: SparkSession, sf: str) -> DataFrame:
-    return detectors.call_flags(calls(spark, sf)).where("a2").select("trajectory_id")
+    return detectors.call_facts(calls(spark, sf)).where("a2").select("trajectory_id")
 
 
 _LABELS = rf"""+
@@ -188,14 +188,13 @@ def _arm():
     runs_view=True,
 )
 def ablation_by_arm(spark: SparkSession, sf: str) -> DataFrame:
-    c, r = calls(spark, sf), runs(spark, sf)
-    out = detectors.arm_aggregates(_labels(spark, sf), detectors.call_flags(c), r, _arm())
+    out = detectors.arm_aggregates(_labels(spark, sf), _arm())
     return out.select("arm", "n_runs", *[F.round(x, 6).alias(x) for x in out.columns[2:]])
 
 
 @query(_ALL + " SELECT coalesce(CAST(seed % 3 AS VARCHAR), 'none') AS arm, outcome, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (PARTITION BY coalesce(CAST(seed % 3 AS VARCHAR), 'none')), 6) AS pct FROM lab GROUP BY 1, 2", runs_view=True)
 def outcome_pct_by_arm(spark: SparkSession, sf: str) -> DataFrame:
-    return detectors.outcome_shares(_labels(spark, sf), runs(spark, sf), _arm()).withColumn("pct", F.round("pct", 6))
+    return detectors.outcome_shares(_labels(spark, sf), _arm()).withColumn("pct", F.round("pct", 6))
 
 
 _LAST = "coalesce(lead(turn_id) OVER (PARTITION BY trajectory_id ORDER BY pos) <> turn_id, true)"
