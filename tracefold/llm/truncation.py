@@ -22,8 +22,8 @@ _DOTS = r"(?s)(?:\s*(?:…|\.{3,}|。{3,}))\s*$"
 # Open classes of tokens, each a private character: time, path, identifier, class name, number.
 _CLASSES = (
     (r"\d{1,2}:\d{2}:\d{2}(?:[.,]\d+)?", ""),
-    (r"[\p{L}\p{N}_.\-]*(?:/[\p{L}\p{N}_.\-]*)+(?:::[\p{L}\p{N}_]*)?", ""),
-    (r"[\p{L}\p{N}]*_[\p{L}\p{N}_]*[\p{L}\p{N}]|[\p{L}\p{N}]+_", ""),
+    (r"(?<![\p{L}\p{N}_.\-])[\p{L}\p{N}_.\-]*+(?:/[\p{L}\p{N}_.\-]*+)++(?:::[\p{L}\p{N}_]*+)?", ""),
+    (r"(?<![\p{L}\p{N}_])[\p{L}\p{N}]*+_[\p{L}\p{N}_]*+", ""),
     (r"\b\p{Lu}\p{Ll}+(?:\p{Lu}\p{Ll}*)+\b", ""),
     (r"(?<=[\p{Ll},] )\p{Lu}\p{L}*", ""),
     (r"\d+(?:\.\d+)?", ""),
@@ -31,14 +31,20 @@ _CLASSES = (
 _TOKEN = r"[-]|\p{IsHan}|[\p{L}\p{N}']+|\n|[^\s\p{L}\p{N}]"
 
 
+_LEVELS = ("h3", "h2", "h1", "g2", "h0")
+_GRAM = "struct<" + ",".join(f"{h}:bigint" for h in _LEVELS) + ",inside:int,ends:int>"
+
+
 def without_signs(text: Column) -> Column:
     """The text without what says that something is missing, and without blanks behind it."""
-    t = F.regexp_replace(text, _SIGN, "")
-    return F.regexp_replace(F.regexp_replace(t, _DOTS, ""), r"\s+$", "")
+    # A sign, like dots, is short; only the end is searched for it.
+    split = F.greatest(F.length(F.rtrim(text)) - 120, F.lit(0))
+    end = F.regexp_replace(F.regexp_replace(F.substring(text, split + 1, F.length(text)), _SIGN, ""), _DOTS, "")
+    return F.regexp_replace(F.concat(F.left(text, split), end), r"(?<!\s)\s+$", "")
 
 
 def has_sign(text: Column) -> Column:
-    return text.rlike(_SIGN)
+    return F.right(F.rtrim(text), F.lit(120)).rlike(_SIGN)
 
 
 def _classed(text: Column) -> Column:
@@ -118,25 +124,27 @@ def _prepared(documents: DataFrame) -> DataFrame:
     return d.withColumn("forms", F.concat(open_at, F.array(F.coalesce("state", F.lit("closed")))))
 
 
-def gram_counts(documents: DataFrame) -> DataFrame:
-    """(h3, h2, h1, g2, h0, inside, ends): how often each trigram of words stands inside a line and at its end, and each of line kinds and open forms inside
-    a text and at its end.
+def gram_pass(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(counts, finals), from one pass over the texts.
 
-    Trigrams are summed where the texts are read; what moves is one row per distinct trigram and partition.
+    counts (h3, h2, h1, g2, h0, inside, ends): how often each trigram of words stands inside a line and at its end, and each of line kinds and open forms inside
+    a text and at its end. They are summed where the texts are read; what moves is one row per distinct trigram and partition.
+    finals: per document its last trigrams of words, line kinds and forms (w, k, f), the state of its form, and a hash of its text.
     """
-    d = _prepared(documents).select("source", "words", "kinds", "forms")
-    d = d.withColumn("w", _grams("words", "word", True)).withColumn("k", _grams("kinds", "line", True)).withColumn("f", _grams("forms", "form", True))
-    return d.select(F.explode(F.concat("w", "k", "f")).alias("g")).select("g.*").groupBy("h3", "h2", "h1", "g2", "h0").agg(F.sum("inside").alias("inside"), F.sum("ends").alias("ends"))
-
-
-def final_grams(documents: DataFrame) -> DataFrame:
-    """Per document: its last trigrams of words and of line kinds, the state of its form, and a hash of its text."""
     d = _prepared(documents)
     w, k, f = (F.get(_grams(c, of, False), F.lit(0)) for c, of in (("words", "word"), ("kinds", "line"), ("forms", "form")))
-    return d.select("doc_id", "source", has_sign(F.col("text")).alias("signed"), "state", F.try_element_at("kinds", F.lit(-1)).alias("kind"), F.try_element_at("words", F.lit(-1)).alias("word"), F.size("kinds").alias("n_lines"), F.array_contains("kinds", "hunk").alias("hunks"), F.size("words").alias("n_words"), F.xxhash64("source", "text").alias("copy"), w.alias("w"), k.alias("k"), f.alias("f"))
+    final = F.struct(
+        "doc_id", "source", has_sign(F.col("text")).alias("signed"), "state", F.try_element_at("kinds", F.lit(-1)).alias("kind"), F.try_element_at("words", F.lit(-1)).alias("word"), F.size("kinds").alias("n_lines"), F.array_contains("kinds", "hunk").alias("hunks"),
+        F.size("words").alias("n_words"), F.xxhash64("source", "text").alias("copy"), w.alias("w"), k.alias("k"), f.alias("f"),
+    )
+    d = d.withColumn("final", final).withColumn("w", _grams("words", "word", True)).withColumn("k", _grams("kinds", "line", True)).withColumn("f", _grams("forms", "form", True))
+    d = d.select("final", F.explode(F.concat("w", "k", "f", F.array(F.lit(None).cast(_GRAM)))).alias("g"))
+    # The last row of each document carries it; all others are trigrams.
+    rows = d.select("g.*", F.when(F.col("g").isNull(), F.col("final")).alias("final")).groupBy(*_LEVELS, "final").agg(F.sum("inside").alias("inside"), F.sum("ends").alias("ends"))
+    rows = checkpointed(rows)
+    return rows.where("final IS NULL").drop("final"), rows.where("final IS NOT NULL").select("final.*")
 
 
-_LEVELS = ("h3", "h2", "h1", "g2", "h0")
 
 
 def _sightings(finals: DataFrame, counts: DataFrame) -> DataFrame:
@@ -177,7 +185,7 @@ def truncation_evidence(documents: DataFrame) -> DataFrame:
 
     Null, empty and blank texts have no row; copies are each judged without each other's ends. An empty table gives no rows.
     """
-    counts, finals = checkpointed(gram_counts(documents)), checkpointed(final_grams(documents))
+    counts, finals = gram_pass(documents)
     copies = finals.groupBy(F.col("copy").alias("_copy")).agg(F.count("*").alias("own"))
     d = finals.join(copies, F.col("copy") == F.col("_copy")).drop("_copy")
     texts = finals.groupBy(F.col("source").alias("_source")).agg(F.count("*").alias("texts"))
