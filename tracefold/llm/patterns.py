@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracefold.llm.calls import SIGNALS, TOOLS, first_delivered, plain_signal, plain_tool
-from tracefold.session import checkpointed
+from tracefold.session import apart, checkpointed
 
 #: A block that is mined at once holds at least so many sequences (where the partition has as many).
 BLOCK = 2048
@@ -33,7 +33,7 @@ def step_sequences(calls: DataFrame, longest_reach: int) -> DataFrame:
     joined = chunks.withColumn("tail", F.expr(f"slice({after}, 1, {longest_reach})"))
     one_chunk = F.expr("count(*) OVER (PARTITION BY tid) = 1").alias("whole")
     hexed = F.unhex(F.array_join(F.transform(F.concat("s", "tail"), lambda v: F.lpad(F.hex(v), 2, "0")), ""))
-    return joined.select("tid", one_chunk, F.size("s").alias("own"), hexed.alias("steps"))
+    return joined.select("tid", one_chunk, F.size("s").alias("own"), hexed.alias("steps"), "c")
 
 
 def codes_of(steps: bytes, own: int, lengths: tuple[int, ...], reach: int, errors: int, none: np.ndarray) -> np.ndarray:
@@ -137,7 +137,7 @@ def frequent_patterns(calls: DataFrame, share: float = 0.1, lengths: tuple[int,
         for s, name in enumerate(SIGNALS):
             none[t * len(SIGNALS) + s] = name == "NONE"
     spark = calls.sparkSession
-    seqs = checkpointed(step_sequences(calls, reach * (top - 1)))
+    seqs = checkpointed(apart(step_sequences(calls, reach * (top - 1)), "tid", "c"))
     n_runs = seqs.agg(F.count_distinct("tid")).first()[0] if seqs.where("NOT whole").limit(1).count() else seqs.count()
     share_of = lambda n: max(1, math.ceil(share * n - 1e-9))
     patterns = lambda b: [codes_of(bytes(s), o, lengths, reach, errors, none) for s, o in zip(b["steps"], b["own"])]
