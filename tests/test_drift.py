@@ -82,6 +82,30 @@ def test_unified_records_follow_renames(spark):
     assert len(got) == 24 and all(r["seed"] == int(r["trajectory_id"][1:]) * 37 for r in got)
 
 
+def test_unified_records_have_every_field_and_value(spark):
+    def later(r):
+        r["created_at"] = "2025-01-05T00:00:01.5+00:00"
+        r["createdBy"] = "x"
+        r["line_no"] = 7
+        r["seed"] = str(r["seed"])
+
+    first = many(model=None)
+    first[0]["created_by"] = "y"
+    both = many(run_seed="kept")
+    df = lines(spark, first, many(x=later, sandbox_image="i:1", elapsed_seconds=5), both)
+    got = drift.unified_records(df, drift.drift_report(df))
+    types = dict(got.dtypes)
+    assert types["sandbox_image"] == "string" and types["elapsed_seconds"] == "bigint" and types["seed"] == "bigint" and types["created_at"] == "double" and types["metadata"] == "map<string,string>"
+    rows = got.collect()
+    second = [r for r in rows if r["file_seq"] == 1]
+    assert len(second) == 8 and all(r["sandbox_image"] == "i:1" and r["elapsed_seconds"] == 5 and r["line_no_"] == 7 for r in second)
+    assert all(r["created_at"] == 1736035201.5 and r["created_at_text"] == "2025-01-05T00:00:01.5+00:00" for r in second)
+    assert sorted(r["seed"] for r in second) == [i * 37 for i in range(8)]
+    by = "created_by" if "created_by" in types else "createdBy"
+    assert sum(r[by] is not None for r in rows) == 9 and {r["run_seed"] for r in rows if r["file_seq"] == 2} == {"kept"}
+    assert drift.unified_records(df.limit(0), drift.drift_report(df)).count() == 0
+
+
 def test_name_likeness():
     assert drift.name_likeness("input_tokens", "inputTokens") == 1.0
     assert drift.name_likeness("llm_claimed_success", "claimed_success") > 0.5

@@ -7,6 +7,7 @@ import json
 import math
 import re
 from collections.abc import Iterator
+from datetime import datetime
 from functools import lru_cache
 
 import numpy as np
@@ -15,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracefold.session import apart, spread
+from tracefold.session import apart, checkpointed, spread
 
 #: Objects whose members are data, not fields.
 OPEN = ("metadata", "params")
@@ -332,7 +333,8 @@ def _renamer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     v = apply(v, p, names)
                 elif isinstance(v, list):
                     v = [apply(x, p + "[]", names) if isinstance(x, dict) else x for x in v]
-            out.setdefault(names.get(p, k), v)
+            name = names.get(p, k)
+            out[k if name != k and (name in o or name in out) else name] = v  # a record that has both names keeps both fields
         return out
 
     for b in batches:
@@ -364,24 +366,128 @@ def first_names(report: DataFrame) -> DataFrame:
     return steps.mapInPandas(chain, "collector string, from_seq long, path string, name string")
 
 
-def unified_records(lines: DataFrame, report: DataFrame, fields: dict[str, str]) -> DataFrame:
-    """All parseable lines as one table with the given columns (name to type), renamed fields under their first name.
+#: ISO times as files write them; a time without a zone is UTC.
+_TIME = re.compile(r"\d{4}-\d\d-\d\d[T ]\d\d:\d\d:\d\d(\.\d{1,6})?(Z|[+-]\d\d:\d\d)?")
+_EXACT = 1 << 53
 
-    A value of another type is cast where it can be and null where not; lists and objects in a text column are JSON text. A lone value
-    where a list is wanted becomes a list of one. Lines that don't parse keep their place with null columns and is_parsed false.
+
+def _value_kind(v: object) -> str:
+    """What a value is for the merged schema; texts that say a number, a flag or a time are told from others."""
+    if isinstance(v, bool):
+        return "boolean"
+    if isinstance(v, int):
+        return "flag" if v in (0, 1) else "int" if abs(v) <= _EXACT else "long" if -(1 << 63) <= v < 1 << 63 else "huge"
+    if isinstance(v, float):
+        return "double"
+    if isinstance(v, dict):
+        return "object"
+    if isinstance(v, list):
+        return "array"
+    if v in ("true", "false", "True", "False"):
+        return "boolean text"
+    if re.fullmatch(r"-?(0|[1-9]\d{0,14})", v) and v != "-0":
+        return "int text"
+    if re.fullmatch(r"-?(0|[1-9]\d{0,14})\.\d+", v) and repr(float(v)) == v:
+        return "double text"
+    if _TIME.fullmatch(v):
+        try:
+            datetime.fromisoformat(v)
+            return "time text"
+        except ValueError:
+            pass
+    return "text"
+
+
+def _widest(name: str, kinds: set[str]) -> str:
+    """The narrowest type that holds all values of a field as they are; text where there is none."""
+    if "boolean" in kinds and kinds <= {"boolean", "flag", "boolean text"}:
+        return "boolean"
+    if kinds & {"int", "flag", "long"} and kinds <= {"int", "flag", "long", "int text"}:
+        return "bigint"
+    if kinds & {"int", "flag", "double"} and kinds <= {"int", "flag", "double", "int text", "double text", "time text"}:
+        return "double"
+    return "map<string,string>" if name in OPEN and kinds == {"object"} else "string"
+
+
+def _spelling(name: str) -> str:
+    """createdAt and created_at are the same field."""
+    return "_".join(w.lower() for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+|[^\W\d_]+", name)) or name
+
+
+def _seen_fields(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        seen: dict = {}
+        for text in b["payload"]:
+            o = json.loads(text) if isinstance(text, str) else {}
+            spelled: dict[str, int] = {}
+            for k, v in o.items():
+                spelled[_spelling(k)] = spelled.get(_spelling(k), 0) + 1
+                at = (k, "null" if v is None else _value_kind(v))
+                seen[at] = seen.get(at, 0) + 1
+            for k in o:
+                if spelled[_spelling(k)] > 1:
+                    seen[k, "both"] = 1
+        yield pd.DataFrame([(k, t, n) for (k, t), n in seen.items()], columns=["name", "kind", "n"])
+
+
+def merged_fields(clean: DataFrame) -> dict[str, tuple[str, list[str], set[str]]]:
+    """Column name to (type, spellings, kinds) of all fields that any line's payload has, by name.
+
+    Spellings of one name (createdAt, created_at) are one column under the most frequent, unless a record has two of them. Only the fields' names
+    and kinds come to the driver.
+    """
+    fields: dict[str, dict[str, int]] = {}
+    for r in clean.select("payload").mapInPandas(_seen_fields, "name string, kind string, n long").groupBy("name", "kind").agg(F.sum("n").alias("n")).collect():
+        fields.setdefault(r["name"], {})[r["kind"]] = r["n"]
+    in_one = {_spelling(k) for k, kinds in fields.items() if "both" in kinds}
+    groups: dict[tuple, list[str]] = {}
+    for k in fields:
+        groups.setdefault((_spelling(k), k if _spelling(k) in in_one else ""), []).append(k)
+    out: dict[str, tuple[str, list[str], set[str]]] = {}
+    taken = {"collector", "file_name", "file_seq", "line_no", "is_parsed"}
+    for names in sorted(sorted(g, key=lambda k: (-sum(fields[k].values()), k)) for g in groups.values()):
+        kinds = {t for k in names for t in fields[k]} - {"null", "both"}
+        column = names[0] or "_"
+        while column.lower() in taken or ("time text" in kinds and f"{column}_text".lower() in taken):
+            column += "_"
+        taken |= {column.lower()} | ({f"{column}_text".lower()} if "time text" in kinds else set())
+        out[column] = (_widest(names[0], kinds), names, kinds)
+    return out
+
+
+def unified_records(lines: DataFrame, report: DataFrame, fields: dict[str, str] | None = None) -> DataFrame:
+    """All lines as one table, renamed fields under their first name; the columns are those of the merged schema, or the given ones (name to type).
+
+    Merged schema: each field that any line has is a column, of the widest type of its values (see _widest); values of unlike types are text,
+    lists and objects JSON text. Times in a column of numbers become epoch seconds, and `<column>_text` keeps what was written. Columns named like the
+    place columns, or like another in other case, get a trailing underscore. Given columns: a value of another type is cast where it can be and null
+    where not; a lone value where a list is wanted becomes a list of one. Lines that don't parse keep their place with null columns and is_parsed false.
     """
-    names = first_names(report).groupBy("collector").agg(F.collect_list(F.struct("from_seq", "path", "name")).alias("all_names"))
+    names = first_names(report).groupBy("collector").agg(F.array_sort(F.collect_list(F.struct("from_seq", "path", "name"))).alias("all_names"))
     n = names.withColumnRenamed("collector", "_c")
     rows = lines.select("collector", "file_name", "file_seq", "line_no", "payload").join(n, F.col("collector").eqNullSafe(F.col("_c")), "left").drop("_c")
     rows = rows.withColumn("names", F.transform(F.filter("all_names", lambda x: x["from_seq"] <= F.col("file_seq")), lambda x: F.struct(x["path"].alias("path"), x["name"].alias("name")))).drop("all_names")
     clean = rows.mapInPandas(_renamer, "collector string, file_name string, file_seq long, line_no long, payload string")
+    if fields is None:
+        clean = checkpointed(clean)
     m = clean.withColumn("_m", F.from_json("payload", "map<string,string>"))
+    at = ["collector", "file_name", "file_seq", "line_no", F.col("payload").isNotNull().alias("is_parsed")]
 
-    def cast(name: str, kind: str) -> Column:
-        v = F.col("_m")[name]
+    def cast(v: Column, kind: str) -> Column:
         if kind.lower().startswith(("array", "struct", "map")):
             one = F.concat(F.lit("["), v, F.lit("]")) if kind.lower().startswith("array") else v
             return F.from_json(F.when(v.startswith("[") | ~F.lit(kind.lower().startswith("array")), v).otherwise(one), kind)
         return v.try_cast(kind)
 
-    return m.select("collector", "file_name", "file_seq", "line_no", F.col("payload").isNotNull().alias("is_parsed"), *[cast(k, t).alias(k) for k, t in fields.items()])
+    if fields is not None:
+        return m.select(*at, *[cast(F.col("_m")[k], t).alias(k) for k, t in fields.items()])
+    columns = []
+    for column, (kind, spellings, kinds) in merged_fields(clean).items():
+        v = F.coalesce(*[F.col("_m")[k] for k in spellings])
+        if kind == "double" and "time text" in kinds:
+            is_time = v.rlike(f"^{_TIME.pattern}$")
+            zoned = F.when(v.rlike(r"(Z|[+-]\d\d:\d\d)$"), v).otherwise(F.concat(v, F.lit("Z")))
+            columns += [F.when(is_time, F.unix_micros(zoned.try_cast("timestamp")) / 1_000_000).otherwise(v.try_cast("double")).alias(column), F.when(is_time, v).alias(f"{column}_text")]
+        else:
+            columns.append(cast(v, kind).alias(column))
+    return m.select(*at, *columns)

@@ -12,11 +12,6 @@ from tracefold.session import checkpointed
 
 Query = Callable[[SparkSession, str], DataFrame]
 NESTED = ["verification", "token_usage", "attempts", "tool_call_events"]
-# The columns of the one table that raw records are read into.
-RECORD = {
-    "trajectory_id": "string", "schema_version": "string", "instance_id": "string", "task": "string", "model": "string", "seed": "bigint", "created_at": "double", "llm_claimed_success": "boolean",
-    "verification": "string", "attempts": "string", "tool_call_events": "string", "token_usage": "string", "metadata": "map<string,string>",
-}
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -41,7 +36,7 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p6_unified(spark: SparkSession, sf: str) -> DataFrame:
     lines = _t(spark, sf, "raw_records")
-    return drift.unified_records(lines, checkpointed(drift.drift_report(lines)), RECORD)
+    return drift.unified_records(lines, checkpointed(drift.drift_report(lines)))
 
 
 def _elements_sql(v: str, name: str) -> str:
