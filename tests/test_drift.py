@@ -1,5 +1,7 @@
 import json
 
+import pandas as pd
+
 from tracefold.operators import drift
 
 BASE = {"trajectory_id": "t", "seed": 1, "model": "m-small", "created_at": 1.5, "attempts": [{"goal": "g", "rolled_back": False}], "metadata": {"a": "b"}}
@@ -106,6 +108,35 @@ def test_unified_records_have_every_field_and_value(spark):
     assert drift.unified_records(df.limit(0), drift.drift_report(df)).count() == 0
 
 
+def profile(records):
+    files = next(drift._profile_batches(iter([pd.DataFrame({"collector": "c", "file_seq": 0, "file_name": "f", "payload": [json.dumps(r) for r in records]})])))
+    return files.to_dict("records")
+
+
+def test_flooding_decides_where_no_records_are_shared(monkeypatch):
+    def later(change):
+        records = many(x=change)
+        for r in records:
+            r["trajectory_id"] = "later " + r["trajectory_id"]
+        return profile(records)
+
+    def other(r):
+        del r["model"]
+        r["sandbox_image"] = "registry.local/images/base:2025"
+
+    assert drift.schema_changes(profile(many()), later(rename("seed", "run_seed"))) == [("renamed", "seed", "run_seed")]
+    assert {x[0] for x in drift.schema_changes(profile(many()), later(other))} == {"removed", "added"}
+    real = drift.flood
+
+    def low(old, new):
+        score = real(old, new)
+        score[old.at["seed"], new.at["run_seed"]] = 0.01 * score.max()
+        return score
+
+    monkeypatch.setattr(drift, "flood", low)
+    assert sorted(drift.schema_changes(profile(many()), later(rename("seed", "run_seed")))) == [("added", "run_seed", ""), ("removed", "seed", "")]
+
+
 def test_name_likeness():
     assert drift.name_likeness("input_tokens", "inputTokens") == 1.0
     assert drift.name_likeness("llm_claimed_success", "claimed_success") > 0.5

@@ -22,6 +22,8 @@ from tracefold.session import apart, checkpointed, spread
 OPEN = ("metadata", "params")
 #: Values kept of a field for comparing content: those of the smallest record hashes, so files keep the same records.
 SKETCH = 96
+#: Share of the flooded score of fields that keep their name from which a removed and an added field correspond.
+FLOODED = 0.6
 _KINDS = {str: "string", bool: "boolean", int: "number", float: "number", dict: "object", list: "array"}
 _PROFILE = "collector string, file_seq long, file_name string, path string, kinds array<string>, n long, keyed array<struct<k:long,v:long>>, stats array<double>"
 
@@ -188,7 +190,7 @@ class Side:
 def flood(old: Side, new: Side, rounds: int = 50, close: float = 1e-3) -> np.ndarray:
     """The match scores of all old with all new fields after similarity flooding.
 
-    Scores begin with names, types and looks of the values, and flow between pairs along equal edges of both graphs: from a pair of
+    Scores begin with names, types and looks of the values, and the values of records that both files hold, the more of them the more. They flow between pairs along equal edges of both graphs: from a pair of
     objects to the pairs of their members and back, a pair's share divided by the number of its edges, until nothing moves.
     """
     names = np.array([[1.0 if a == b else name_likeness(x, y) for b, y in zip(new.paths, new.name)] for a, x in zip(old.paths, old.name)])
@@ -200,7 +202,13 @@ def flood(old: Side, new: Side, rounds: int = 50, close: float = 1e-3) -> np.nda
     looks = np.exp(-np.abs(np.array(old.looks)[:, None, :] - np.array(new.looks)[None, :, :]).sum(2))
     looks = np.where(np.outer(old.full, new.full), looks, 0.3)
     lists = np.array([p.endswith("[]") for p in old.paths])[:, None] == np.array([p.endswith("[]") for p in new.paths])[None, :]
-    base = (0.5 * names + 0.2 * types + 0.3 * looks) * lists
+    base = 0.5 * names + 0.2 * types + 0.3 * looks
+    for i, a in enumerate(old.keyed):
+        for j, b in enumerate(new.keyed):
+            if a and b and old.paths[i].rpartition(".")[0] == new.paths[j].rpartition(".")[0]:  # others' records have other hashes
+                shared, same, _ = content_agreement(a, b)
+                base[i, j] += (same - base[i, j]) * shared / (shared + 2)
+    base *= lists
     down_old, down_new = (x / np.maximum(1, x.sum(1, keepdims=True)) for x in (old.links, new.links))
     score = base.copy()
     for _ in range(rounds):
@@ -248,10 +256,11 @@ def schema_changes(old_rows: list[dict], new_rows: list[dict]) -> list[tuple[str
         pairs = []
         if gone.get(q) and come.get(q):
             score = flood(old, new) if score is None else score
+            known = _known_score(old, new, score, q)
             for a in gone[q]:
                 for b in come[q]:
                     i, j = old.at[a], new.at[b]
-                    s = rename_score(old, new, i, j, score[i, j])
+                    s = rename_score(old, new, i, j, score[i, j] / known)
                     if s > 0:
                         pairs.append((s, a, b))
         taken: set[str] = set()
@@ -264,11 +273,19 @@ def schema_changes(old_rows: list[dict], new_rows: list[dict]) -> list[tuple[str
     return changes
 
 
+def _known_score(old: Side, new: Side, score: np.ndarray, parent: str) -> float:
+    """The median score of the fields that keep their name, in a parent or else anywhere; 1, the highest score, where there are none."""
+    kept = [p for p in old.paths if p in new.at and not p.endswith("[]")]
+    kept = [p for p in kept if p.rpartition(".")[0] == parent] or kept
+    return float(np.median([score[old.at[p], new.at[p]] for p in kept])) or 1.0 if kept else 1.0
+
+
 def rename_score(old: Side, new: Side, i: int, j: int, flooded: float) -> float:
     """Over 0 if the new field goes on with the old one's content; larger is surer.
 
     Records that both files hold decide where they say something: the same values in nearly all, and more than one value among them.
-    Where they say little, as for flags that are always false, the flooded score must be high as well. Lists and objects with the same fields inside are the same.
+    Where they say little, as for flags that are always false, or where there are none, the flooded score decides: `flooded` is its share of the score of
+    fields that keep their name, and FLOODED the least. Taken in order of the result the pairs are a stable matching. Lists and objects with the same fields inside are the same.
     """
     names = name_likeness(old.name[i], new.name[j])
     if old.kinds[i] and new.kinds[j] and not (old.kinds[i] & new.kinds[j]):
@@ -281,14 +298,12 @@ def rename_score(old: Side, new: Side, i: int, j: int, flooded: float) -> float:
         if alike < 0.2:
             return 0.0
     shared, same, distinct = content_agreement(old.keyed[i], new.keyed[j])
-    looks = float(np.exp(-np.abs(old.looks[i] - new.looks[j]).sum())) if old.full[i] and new.full[j] else 0.3
     if shared >= 2:
         if same < 0.8:
             return 0.0
         if distinct >= 3 or (distinct == 2 and shared >= 6):
             return 2 + same + names
-        return 1 + names if names >= 0.45 or (looks > 0.5 and distinct == 2) or looks > 0.8 else 0.0
-    return flooded + names if names >= 0.5 or (names >= 0.3 and looks > 0.6) or looks > 0.85 else 0.0
+    return (shared >= 2) + flooded / (1 + flooded) if flooded >= FLOODED else 0.0
 
 
 def _compare_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
