@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracefold.functions.text import training_text
+from tracefold.operators.nested import elements, loaded
 
 MESSAGE = "struct<role:string,content:string,tool_call_id:string,tool_calls:array<struct<id:string,type:string,function:struct<name:string,arguments:string>>>>"
 #: Metadata keys that may hold a run's raw messages, the first that isn't empty counts.
@@ -46,6 +51,30 @@ def attempts_type() -> str:
     return "array<struct<step_number:bigint,attempt_number:bigint,goal:string,status:string,target_files:array<string>,tool_names:array<string>,failure_reason:string>>"
 
 
+@F.pandas_udf(T.StringType())
+def _attempts_json(text: pd.Series) -> pd.Series:
+    def listed(v: object, name: str) -> list[str]:
+        return [x if isinstance(x, str) else json.dumps(x, ensure_ascii=False) for x in elements(loaded(v) if isinstance(v, str) and v[:1] in "[{" else v, name)]
+
+    def one(t: str | None) -> str:
+        out = []
+        for i, a in enumerate(elements(loaded(t), "attempts")):
+            a = a if isinstance(a, dict) else {"goal": a if isinstance(a, str) else json.dumps(a, ensure_ascii=False)}
+            numbers = {k: a[k] if a.get(k) is not None else least for k, least in (("step_number", i + 1), ("attempt_number", 1))}
+            out.append(a | numbers | {k: listed(a.get(k), k) for k in ("target_files", "tool_names")})
+        return json.dumps(out)
+
+    return text.map(one)
+
+
+def parsed_attempts(text: Column) -> Column:
+    """The attempts in a record's JSON text, whichever shape it has (see nested.elements); none for null or empty text.
+
+    A lone file or tool name is a list of one. An attempt without a number counts as the step of its place, first attempt; one that is a plain text has it as its goal.
+    """
+    return F.from_json(_attempts_json(text), attempts_type())
+
+
 def message_faults(messages: Column) -> Column:
     """What is wrong with a sample's messages, as texts: empty list, unknown role, no content, a tool message without id, calls without id, name or arguments."""
     bad_call = lambda c: c["id"].isNull() | (c["id"] == "") | (c["type"] != "function") | c["function"]["name"].isNull() | (c["function"]["name"] == "") | c["function"]["arguments"].isNull()

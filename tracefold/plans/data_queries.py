@@ -9,6 +9,7 @@ from tracefold.functions import diffs, python_udfs, text
 from tracefold.functions.names import snake
 from tracefold.operators import export, lookups, sessions, tasks
 from tracefold.plans.run_queries import query
+from tracefold.session import spread
 from tracefold.sources.views import runs, table
 from tracefold.streaming import live
 
@@ -168,6 +169,14 @@ def rebuilt_texts(spark: SparkSession, sf: str) -> DataFrame:
     return r.select("run", text.training_text(m).alias("text"))
 
 
+@query()
+def training_samples(spark: SparkSession, sf: str) -> DataFrame:
+    """The samples of all delivered records with their attempts; rebuilt_texts is the part without attempts, which SQL can say."""
+    t = spread(table(spark, sf, "trajectories").select("record_id", "task", "attempts", "llm_claimed_success", "metadata"), "record_id")
+    records = t.select(F.col("record_id").alias("trajectory_id"), "task", export.parsed_attempts(F.col("attempts")).alias("attempts"), F.col("llm_claimed_success").alias("success"), "metadata")
+    return export.sample_rows(records).withColumnRenamed("trajectory_id", "record_id")
+
+
 @query("+ x AS (SELECT 1) SELECT model, count(*) AS n, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens FROM runs GROUP BY 1", calls_view=False, runs_view=True)
 def token_totals(spark: SparkSession, sf: str) -> DataFrame:
     return runs(spark, sf).groupBy("model").agg(F.count("*").alias("n"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"))
