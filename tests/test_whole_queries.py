@@ -1,5 +1,6 @@
 """Queries over whole tables, against brute force on small ones."""
 
+import hashlib
 import json
 
 from tracefold.operators.nested import elements, loaded
@@ -34,3 +35,18 @@ def test_training_samples_hold_the_attempts(spark, tmp_path):
         assert got[i]["text"] == brute_text(task, t, ok) and got[i]["faults"] == []
     calls = [c for m in got[0]["messages"] for c in m["tool_calls"] or []]
     assert [c["function"]["name"] for c in calls] == ["bash", "search", "file_edit"] and len({c["id"] for c in calls}) == 3
+
+
+CALLS = "call_id string, trajectory_id string, turn_id long, call_index_in_turn long, global_index long, tool_name string, params string, params_hash string, target_file string, result_success boolean, result_content string, error_signal string, ts_epoch double, ingested_at timestamp"
+
+
+def call(i, params="{}", tool="bash", file=""):
+    return (f"c{i}", "t", i, 0, i, tool, params, "", file, True, "", "NONE", float(i), None)
+
+
+def test_params_hashes_of_all_calls(spark, tmp_path):
+    params = ['{"timeout": 5, "command": "ls"}', '{"command":"ls","timeout":5}', '{"path": "\u00e4", "n": 1.0}', "{bad", None, "[1, 2]"]
+    sf = folder(spark, tmp_path, tool_call_events=([call(i, p, ["bash", "file_read"][i % 2]) for i, p in enumerate(params)], CALLS))
+    got = {r["pos"]: r["told"] for r in run_queries.QUERIES["params_hashes"](spark, sf).collect()}
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()[:16]
+    assert got == {0: digest('{"command": "ls", "timeout": 5}'), 1: got[0], 2: digest('{"n": 1.0, "path": "\u00e4"}'), 3: None, 4: None, 5: digest("[1, 2]")}

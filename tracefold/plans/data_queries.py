@@ -215,6 +215,14 @@ def params_hash(spark: SparkSession, sf: str) -> DataFrame:
     return c.select("trajectory_id", "pos", F.when(F.try_parse_json("params").isNotNull(), F.left(F.sha2("params", 256), F.lit(16))).alias("told"))
 
 
+@query()
+def params_hashes(spark: SparkSession, sf: str) -> DataFrame:
+    """The hash of the canonical JSON over all calls; params_hash is the part that SQL can say."""
+    from tracefold.sources.views import calls
+
+    return calls(spark, sf).select("trajectory_id", "pos", python_udfs.params_hash("params").alias("told"))
+
+
 @query(r"SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '\bin\s+([A-Za-z0-9_./\\-]+\.py)\b', 1))), ' ') AS refs FROM documents WHERE text IS NOT NULL AND NOT contains(text, 'File ') AND NOT regexp_matches(text, '\.py:\d')", calls_view=False)
 def file_references(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents").where("text IS NOT NULL").where(~F.col("text").contains("File ") & ~F.col("text").rlike(r"\.py:\d"))
