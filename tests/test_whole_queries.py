@@ -50,3 +50,14 @@ def test_params_hashes_of_all_calls(spark, tmp_path):
     got = {r["pos"]: r["told"] for r in run_queries.QUERIES["params_hashes"](spark, sf).collect()}
     digest = lambda t: hashlib.sha256(t.encode()).hexdigest()[:16]
     assert got == {0: digest('{"command": "ls", "timeout": 5}'), 1: got[0], 2: digest('{"n": 1.0, "path": "\u00e4"}'), 3: None, 4: None, 5: digest("[1, 2]")}
+
+
+def test_text_operators_over_whole_tables(spark, tmp_path):
+    texts = ['  File "a\\b.py", line 1\nc/d.py:3 and in e.py', "\u3000\u4e2d \u00a0\n\u6587\u2003", None, "intro\n## A\none\n## B \n\ntwo\n## A\nlast"]
+    docs = [(i, t, lang) for (i, t), lang in zip(enumerate(texts), ["en", "zh", "en", None])]
+    sf = folder(spark, tmp_path, documents=(docs, "doc_id long, text string, lang string"), tool_call_events=([call(i, file=f) for i, f in enumerate(["a/../b.py", "../x", "a\\\\b", "./c", "./c"])], CALLS))
+    rows = lambda name: [tuple(r) for r in run_queries.QUERIES[name](spark, sf).collect()]
+    assert dict(rows("text_references")) == {0: "a/b.py c/d.py e.py", 1: "", 3: ""}
+    assert dict(rows("all_squeezed_texts")) == {i: " ".join(t.split()) for i, t in enumerate(texts) if t is not None}
+    assert sorted(rows("document_sections")) == [(3, "A", "last"), (3, "B", "two")]
+    assert sorted(rows("target_paths"), key=str) == sorted([("a/../b.py", "b.py"), ("../x", None), ("a\\\\b", "a/b"), ("./c", "c")], key=str)

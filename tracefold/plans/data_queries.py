@@ -248,6 +248,31 @@ def squeezed_texts(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").where("text IS NOT NULL AND lang IN ('en', 'EN')").select("doc_id", text.squeezed(F.col("text")).alias("text"))
 
 
+# file_references, normal_paths, squeezed_texts and section_counts leave out what their SQL can't say; these run the operators over whole tables.
+@query()
+def text_references(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents").where("text IS NOT NULL")
+    return d.select("doc_id", F.array_join(F.array_sort(diffs.file_refs(F.col("text"))), " ").alias("refs"))
+
+
+@query()
+def target_paths(spark: SparkSession, sf: str) -> DataFrame:
+    from tracefold.sources.views import calls
+
+    return calls(spark, sf).select("target_file").distinct().select("target_file", text.normal_path(F.col("target_file")).alias("path"))
+
+
+@query()
+def all_squeezed_texts(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", text.squeezed(F.col("text")).alias("text"))
+
+
+@query()
+def document_sections(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents").where("text IS NOT NULL")
+    return d.select("doc_id", F.explode(text.sections(F.col("text"))).alias("title", "body"))
+
+
 @query("SELECT doc_id, (length(text) - length(replace(text, 'the', ''))) // 3 AS n FROM documents WHERE text IS NOT NULL", calls_view=False)
 def piece_counts(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", text.occurrences(F.col("text"), F.lit("the")).alias("n"))
