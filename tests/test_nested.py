@@ -3,6 +3,7 @@ import json
 import pytest
 
 from tracefold.operators.nested import FlatTables, elements, loaded
+from tracefold.plans import queries
 
 A = {"step_number": 1, "goal": "g", "status": "failed", "target_files": ["a", None, "b"], "tool_names": "bash"}
 B = {"step_number": 2, "goal": "h", "status": "failed", "target_files": []}
@@ -57,3 +58,14 @@ def test_empty_table(spark):
 def test_very_long_text(spark):
     f = FlatTables(spark.createDataFrame([(1, json.dumps([{"goal": "x" * 300_000}] * 20))], "record_id long, attempts string"), "record_id", ["attempts"])
     assert f.positions().count() == 20
+
+
+def test_all_flat_tables_come_out_with_their_values(spark, tmp_path):
+    calls = [{"turn_id": 1, "tool_name": "bash", "params": {"b": 1}}, {"turn_id": 2, "tool_name": "search", "params": {}}]
+    rows = [(1, json.dumps([A, B | {"tool_names": ["x", "y"]}]), json.dumps({"turn": 0, "calls": calls}), json.dumps({"input_tokens": 5})), (2, None, json.dumps(calls[:1]), json.dumps([{"input_tokens": 7}]))]
+    spark.createDataFrame(rows, "record_id long, attempts string, tool_call_events string, token_usage string").write.parquet(f"{tmp_path}/trajectories.parquet")
+    got = {n: queries.queries()[f"p5_{n}"](spark, str(tmp_path)) for n in ("tool_call_events", "token_usage", "attempt_target_files", "attempt_tool_names")}
+    assert sorted(tuple(r) for r in got["tool_call_events"].select("record_id", "child_pos", "turn_id", "tool_name", "params").collect()) == [(1, 0, 1, "bash", '{"b":1}'), (1, 1, 2, "search", "{}"), (2, 0, 1, "bash", '{"b":1}')]
+    assert sorted((r["record_id"], r["input_tokens"]) for r in got["token_usage"].collect()) == [(1, 5), (2, 7)]
+    assert sorted((r["parent_pos"], r["child_pos"], r["value"]) for r in got["attempt_target_files"].collect()) == [(0, 0, "a"), (0, 1, "b")]
+    assert sorted((r["parent_pos"], r["child_pos"], r["value"]) for r in got["attempt_tool_names"].collect()) == [(0, 0, "bash"), (1, 0, "x"), (1, 1, "y")]

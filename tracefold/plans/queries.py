@@ -30,6 +30,22 @@ def p5_verification(spark: SparkSession, sf: str) -> DataFrame:
     return nested.FlatTables(_t(spark, sf, "trajectories"), "record_id", ["verification"]).typed("verification")
 
 
+def p5_tool_call_events(spark: SparkSession, sf: str) -> DataFrame:
+    return nested.FlatTables(_t(spark, sf, "trajectories"), "record_id", ["tool_call_events"]).typed("tool_call_events")
+
+
+def p5_token_usage(spark: SparkSession, sf: str) -> DataFrame:
+    return nested.FlatTables(_t(spark, sf, "trajectories"), "record_id", ["token_usage"]).typed("token_usage")
+
+
+def p5_attempt_target_files(spark: SparkSession, sf: str) -> DataFrame:
+    return nested.FlatTables(_t(spark, sf, "trajectories"), "record_id", ["attempts"]).typed("attempt_target_files")
+
+
+def p5_attempt_tool_names(spark: SparkSession, sf: str) -> DataFrame:
+    return nested.FlatTables(_t(spark, sf, "trajectories"), "record_id", ["attempts"]).typed("attempt_tool_names")
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return drift.drift_report(_t(spark, sf, "raw_records")).select("file_name", "change_kind", "field_path", "new_path")
 
@@ -65,7 +81,7 @@ def _p5_sql() -> str:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p5_found, p5_attempts, p5_verification, p6_found, p6_unified)} | run_queries.QUERIES
+    return {f.__name__: f for f in (p5_found, p5_attempts, p5_verification, p5_tool_call_events, p5_token_usage, p5_attempt_target_files, p5_attempt_tool_names, p6_found, p6_unified)} | run_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
