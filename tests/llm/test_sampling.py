@@ -35,3 +35,15 @@ def test_empty_labels(spark):
     t = spark.createDataFrame([("failed", False, "NONE", 500, 3)], TARGETS)
     assert sampling.target_report(cur, t).first()["deficit"] == 3
     assert sampling.sample_to_targets(cur, t).count() == 0
+
+
+def test_a_short_draw_is_made_good(spark):
+    rows = [(f"f{i}", "failed", False, "NONE", at(1)) for i in range(900)] + [(f"t{i}", "toxic", True, "L1", at(1)) for i in range(100)]
+    cur = sampling.current_labels(labels(spark, rows))
+    t = spark.createDataFrame([("failed", False, "NONE", 900, 1), ("toxic", True, "L1", 100, 150)], TARGETS)
+    for over in (-0.2, -0.9, -5.0):
+        drawn = sampling.sample_to_targets(cur, t, over=over).toPandas()
+        assert drawn.groupby("outcome").size().to_dict() == {"failed": 225, "toxic": 100} and drawn.run.is_unique
+        got = {r["outcome"]: (r["wanted"], r["sampled"], r["deficit"]) for r in sampling.sample_report(cur, t, over=over).collect()}
+        assert got == {"failed": (225, 225, 0), "toxic": (150, 100, 50)}
+    assert [r["outcome"] for r in sampling.short_categories(cur, t).collect()] == ["toxic"]

@@ -68,3 +68,37 @@ def test_empty(spark):
     assert splits.split_records(table(spark, [(1, "a", "b")]).limit(0), t).count() == 0
     with pytest.raises(ValueError):
         splits.split_records(table(spark, [(1, "a", "b")]), t.limit(0))
+
+
+def test_all_groups_are_dealt_by_bands(spark):
+    """Few large groups: the bands below make good what those have too much."""
+    rows, k = [], 0
+    for size, n in ((40, 1), (17, 3), (9, 5), (4, 20), (2, 30), (1, 60)):
+        for _ in range(n):
+            rows += [(k * 100 + j, f"g{k}", None) for j in range(size)]
+            k += 1
+    t = spark.createDataFrame([("train", 800), ("validation", 100), ("test", 100)], "split_name string, target_permille long")
+    got = splits.split_records(table(spark, rows), t).toPandas()
+    assert len(got) == len(rows) and got.groupby("group_id").split_name.nunique().max() == 1
+    n = got.groupby("split_name").size()
+    assert abs(n["train"] - 0.8 * len(rows)) <= 2 and abs(n["validation"] - 0.1 * len(rows)) <= 2
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_forest_is_least(spark, seed):
+    r = random.Random(seed)
+    rows = [(i, r.choice([None, *[f"x{k}" for k in range(15)]]), r.choice([None, *[f"t{k}" for k in range(25)]])) for i in range(90)]
+    up, least, seen = {}, set(), set()
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, i, t in rows:  # Kruskal: record_ids rise
+        if i and t and (i, t) not in seen:
+            seen.add((i, t))
+            if root("i" + i) != root("r" + t):
+                up[root("i" + i)] = root("r" + t)
+                least.add((i, t, a))
+    assert {tuple(x) for x in splits.record_forest(table(spark, rows)).collect()} == least

@@ -34,14 +34,23 @@ def p2_support(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
-    report = sampling.target_report(sampling.current_labels(_t(spark, sf, "labels")), _t(spark, sf, "sample_targets"))
-    return report.where("deficit > 0").select("outcome", F.col("contains_recovery").cast("long").alias("contains_recovery"), "highest_recovery_level")
+    short = sampling.short_categories(sampling.current_labels(_t(spark, sf, "labels")), _t(spark, sf, "sample_targets"))
+    return short.select("outcome", F.col("contains_recovery").cast("long").alias("contains_recovery"), "highest_recovery_level")
 
 
 def p3_sample(spark: SparkSession, sf: str) -> DataFrame:
     return sampling.sample_to_targets(sampling.current_labels(_t(spark, sf, "labels")), _t(spark, sf, "sample_targets"))
 
 
+def p3_sample_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """What p3_sample holds of each category, and how many of its runs are labelled so."""
+    current = sampling.current_labels(_t(spark, sf, "labels"))
+    drawn = sampling.sample_to_targets(current, _t(spark, sf, "sample_targets")).withColumnRenamed("run", "drawn")
+    same = [drawn[k] == current[k] for k in sampling.KEYS]
+    known = drawn.join(current.withColumnRenamed("run", "_run"), [F.col("drawn") == F.col("_run"), *same], "left_semi")
+    return known.groupBy(*sampling.KEYS).agg(F.count_distinct("drawn").alias("n_runs"))
+
+
 def p3_report(spark: SparkSession, sf: str) -> DataFrame:
     return sampling.sample_report(sampling.current_labels(_t(spark, sf, "labels")), _t(spark, sf, "sample_targets"))
 
@@ -50,10 +59,19 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return splits.groups_found(_t(spark, sf, "trajectories"))
 
 
+def p4_split_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """The groups of p4_splits: their records and how many splits they are in."""
+    return p4_splits(spark, sf).groupBy("group_id").agg(F.count_distinct("record_id").alias("n_records"), F.count_distinct("split_name").alias("n_splits"))
+
+
 def p4_splits(spark: SparkSession, sf: str) -> DataFrame:
     return splits.split_records(_t(spark, sf, "trajectories"), _t(spark, sf, "split_targets"))
 
 
+def p4_forest(spark: SparkSession, sf: str) -> DataFrame:
+    return splits.record_forest(_t(spark, sf, "trajectories"))
+
+
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return contamination.eval_leaks(_t(spark, sf, "documents"), _t(spark, sf, "eval_items"))
 
@@ -112,6 +130,13 @@ g AS (SELECT k.record_id, coalesce('i' || rr.root, 'i' || comp.root, 'i' || k.i,
 SELECT record_id, min(record_id) OVER (PARTITION BY root) AS group_id FROM g WHERE root IS NOT NULL QUALIFY count(*) OVER (PARTITION BY root) > 1
 """
 
+# An edge of the pairs (task, run) is in the least spanning forest unless edges of smaller weight join its ends.
+P4_FOREST_SQL = P4_FOUND_SQL.split("ii AS")[0] + """
+d AS (SELECT 'i' || i AS a, 'r' || r AS b, m FROM ir UNION ALL SELECT 'r' || r, 'i' || i, m FROM ir),
+reach AS (SELECT m AS e, 'i' || i AS at FROM ir UNION SELECT reach.e, d.b FROM reach JOIN d ON d.a = reach.at AND d.m < reach.e)
+SELECT i AS task, r AS run, m AS record_id FROM ir WHERE NOT EXISTS (SELECT 1 FROM reach WHERE reach.e = ir.m AND reach.at = 'r' || ir.r)
+"""
+
 
 P2_SQL = f"""
 WITH {CALLS_SQL},
@@ -132,11 +157,14 @@ SELECT outcome, contains_recovery, highest_recovery_level, wanted, available, le
 """
 )
 
+P3_SAMPLE_COUNTS_SQL = P3_REPORT_SQL.split("SELECT outcome, contains_recovery, highest_recovery_level, wanted")[0] + "SELECT outcome, contains_recovery, highest_recovery_level, least(wanted, available) AS n_runs FROM r WHERE least(wanted, available) > 0"
+P4_SPLIT_GROUPS_SQL = P4_FOUND_SQL.split("SELECT record_id, min(record_id)")[0] + "SELECT min(record_id) AS group_id, count(*) AS n_records, 1 AS n_splits FROM g GROUP BY coalesce(root, CAST(record_id AS VARCHAR))"
+
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_collapsed, p2_found, p2_support, p3_found, p3_sample, p3_report, p4_found, p4_splits, p7_found, p7_items, p8_found, p8_mixture, p8_report, p9_found, p9_by_source)}
+    return {f.__name__: f for f in (p1_found, p1_collapsed, p2_found, p2_support, p3_found, p3_sample, p3_sample_counts, p3_report, p4_found, p4_forest, p4_splits, p4_split_groups, p7_found, p7_items, p8_found, p8_mixture, p8_report, p9_found, p9_by_source)}
 
 
 def oracle_sql() -> dict[str, str]:
     frequent = " FROM n WHERE n_runs >= 0.1 * (SELECT count(DISTINCT trajectory_id) FROM calls)"
-    return {"p2_found": P2_SQL + "SELECT pattern" + frequent, "p2_support": P2_SQL + "SELECT pattern, n_steps, n_runs" + frequent, "p3_found": P3_FOUND_SQL, "p3_report": P3_REPORT_SQL, "p4_found": P4_FOUND_SQL}
+    return {"p2_found": P2_SQL + "SELECT pattern" + frequent, "p2_support": P2_SQL + "SELECT pattern, n_steps, n_runs" + frequent, "p3_found": P3_FOUND_SQL, "p3_report": P3_REPORT_SQL, "p4_found": P4_FOUND_SQL, "p4_forest": P4_FOREST_SQL, "p3_sample_counts": P3_SAMPLE_COUNTS_SQL, "p4_split_groups": P4_SPLIT_GROUPS_SQL}
