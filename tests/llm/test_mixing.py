@@ -19,6 +19,17 @@ def test_short_sources(spark):
     assert sorted(r["source"] for r in mixing.short_sources(d, t).collect()) == ["absent", "tiny"]
 
 
+def test_only_sources_near_their_last_slot_are_asked(spark):
+    d = docs(spark, big_one=900, small=60, tiny=3)
+    t = spark.createDataFrame([("big_one", 500, 1), ("small", 300, 40), ("tiny", 200, 1)], TARGETS)
+    for block in (64, 512, 16_384):
+        s = mixing.slot_schedule(mixing.source_supply(mixing.token_counts(d), t), block)
+        rows = {r["source"]: r for r in mixing.used_up(s).collect()}
+        assert [k for k, r in rows.items() if r["falls_short"]] == ["tiny"] == [r["source"] for r in mixing.short_sources(d, t, block_tokens=block).collect()]
+        if block == 64:
+            assert rows["tiny"]["slots"] > rows["tiny"]["n_blocks"] and rows["small"]["slots"] < rows["small"]["n_blocks"] * 40
+
+
 def test_mixture_has_the_shares_and_caps_repeats(spark):
     d = docs(spark, big_one=3000, small=700)
     t = spark.createDataFrame([("big_one", 600, 1), ("small", 400, 3)], TARGETS)
