@@ -70,3 +70,9 @@ def test_empty_table_and_unknown_tools(spark):
     runs = {"a": [("bash", "OTHER"), ("unknown", "X"), (None, None), ("bash", "TIMEOUT"), ("bash", "OTHER")]}
     got = {r["pattern"] for r in patterns.frequent_patterns(table(spark, runs)).collect()}
     assert got == {"bash:OTHER>bash:TIMEOUT>bash:OTHER"}
+
+
+def test_many_candidates_are_joined(spark, monkeypatch):
+    runs = {k: v for k, v in random_runs(1, 40, 14).items() if v}
+    monkeypatch.setattr(patterns, "BROADCAST", 3)
+    assert {r["pattern"]: r["n_runs"] for r in patterns.frequent_patterns(table(spark, runs)).collect()} == brute(runs)

@@ -13,13 +13,16 @@ from pyspark.sql import functions as F
 from tracefold.llm.calls import SIGNALS, TOOLS, first_delivered, plain_signal, plain_tool
 from tracefold.session import apart, checkpointed
 
+#: So many candidates at most (8 bytes each) are sent to the executors.
+BROADCAST = 1_000_000
 #: A block that is mined at once holds at least so many sequences (where the partition has as many).
 BLOCK = 2048
 
 
 def step_sequences(calls: DataFrame, longest_reach: int) -> DataFrame:
-    """(tid, c, own, steps): the steps of each chunk of a run, then up to longest_reach steps of later chunks.
+    """(tid, whole, starts, own, steps): the steps of each chunk of a run, then up to longest_reach steps of later chunks.
 
+    whole: the run has one chunk; starts: 1 for a run's first chunk, else 0.
     A step is tool code * |signals| + signal code, one byte each. own counts the chunk's own steps: patterns
     that start there belong to this chunk, so every occurrence in a run of any length is seen once.
     Calls of other tools or signals keep their place in the run (as byte 255) but are in no pattern.
@@ -32,8 +35,9 @@ def step_sequences(calls: DataFrame, longest_reach: int) -> DataFrame:
     after = f"flatten(collect_list(slice(s, 1, {longest_reach})) OVER (PARTITION BY tid ORDER BY c ROWS BETWEEN 1 FOLLOWING AND {max(1, longest_reach)} FOLLOWING))"
     joined = chunks.withColumn("tail", F.expr(f"slice({after}, 1, {longest_reach})"))
     one_chunk = F.expr("count(*) OVER (PARTITION BY tid) = 1").alias("whole")
+    starts = F.expr("if(row_number() OVER (PARTITION BY tid ORDER BY c) = 1, 1, 0)").alias("starts")
     hexed = F.unhex(F.array_join(F.transform(F.concat("s", "tail"), lambda v: F.lpad(F.hex(v), 2, "0")), ""))
-    return joined.select("tid", one_chunk, F.size("s").alias("own"), hexed.alias("steps"), "c")
+    return joined.select("tid", one_chunk, starts, F.size("s").alias("own"), hexed.alias("steps"))
 
 
 def codes_of(steps: bytes, own: int, lengths: tuple[int, ...], reach: int, errors: int, none: np.ndarray) -> np.ndarray:
@@ -123,8 +127,8 @@ def frequent_patterns(calls: DataFrame, share: float = 0.1, lengths: tuple[int,
     Between neighbouring steps at most `between` other calls may lie, and at least `errors` steps carry a signal other
     than NONE. All runs of the table count, each once per pattern. Runs are mined in blocks by direct comparison (see
     frequent_by_comparison): what is frequent in all runs is frequent in some block, so the blocks' results hold every
-    answer, and one more pass counts those candidates exactly. Candidates are few: each is in at least
-    `share` of a block's runs. Long runs lie in several chunks; these are mined apart and counted as one run.
+    answer, and one more pass counts those candidates exactly. Candidates are few where blocks are of BLOCK sequences, each is in at least
+    `share` of a block's runs; small tables have small blocks and more candidates, the rows are the same. Long runs lie in several chunks; these are mined apart and counted as one run.
 
     Calls without trajectory_id or global_index are left out; null and empty signals are NONE; repeated
     deliveries count once; an empty table gives no rows; extra columns are ignored.
@@ -137,8 +141,8 @@ def frequent_patterns(calls: DataFrame, share: float = 0.1, lengths: tuple[int,
         for s, name in enumerate(SIGNALS):
             none[t * len(SIGNALS) + s] = name == "NONE"
     spark = calls.sparkSession
-    seqs = checkpointed(apart(step_sequences(calls, reach * (top - 1)), "tid", "c"))
-    n_runs = seqs.agg(F.count_distinct("tid")).first()[0] if seqs.where("NOT whole").limit(1).count() else seqs.count()
+    seqs = checkpointed(apart(step_sequences(calls, reach * (top - 1)), "tid", "own"))
+    n_runs = seqs.agg(F.sum("starts")).first()[0] or 0
     share_of = lambda n: max(1, math.ceil(share * n - 1e-9))
     patterns = lambda b: [codes_of(bytes(s), o, lengths, reach, errors, none) for s, o in zip(b["steps"], b["own"])]
 
@@ -147,13 +151,14 @@ def frequent_patterns(calls: DataFrame, share: float = 0.1, lengths: tuple[int,
             # A run's chunks other than its first raise a block's rows, not its runs.
             yield pd.DataFrame({"code": pd.Series(frequent_by_comparison(patterns(b), share_of(int(b["starts"].sum()))), dtype="int64")})
 
-    marked = seqs.withColumn("starts", F.when(F.col("whole"), 1).otherwise(F.expr("if(row_number() OVER (PARTITION BY tid ORDER BY own) = 1, 1, 0)")))
-    candidates = [r[0] for r in marked.select("own", "steps", "starts").mapInPandas(mine, "code long").distinct().collect()]
-    wanted = spark.sparkContext.broadcast(np.array(sorted(candidates), np.int64))  # at most 1/share times a run's patterns for each block
+    candidates = checkpointed(seqs.select("own", "steps", "starts").mapInPandas(mine, "code long").distinct())
+    # Few as a rule; where they are many, blocks count all their patterns and the join keeps the candidates'.
+    few = candidates.count() <= BROADCAST
+    wanted = spark.sparkContext.broadcast(np.array(sorted(r[0] for r in candidates.collect()), np.int64)) if few else None
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            hits = [c[np.isin(c, wanted.value, assume_unique=True)] for c in patterns(b)]
+            hits = [c[np.isin(c, wanted.value, assume_unique=True)] if few else c for c in patterns(b)]
             whole = [h for h, w in zip(hits, b["whole"]) if w]
             code, n = np.unique(np.concatenate(whole), return_counts=True) if whole else (np.empty(0, np.int64), np.empty(0, np.int64))
             yield pd.DataFrame({"code": code, "tid": pd.Series([None] * len(code), dtype=object), "n": n.astype(np.int64)})
@@ -162,6 +167,8 @@ def frequent_patterns(calls: DataFrame, share: float = 0.1, lengths: tuple[int,
                     yield pd.DataFrame({"code": h, "tid": t, "n": np.int64(1)})
 
     counted = seqs.select("tid", "whole", "own", "steps").mapInPandas(count, "code long, tid string, n long")
+    if not few:
+        counted = counted.join(candidates, "code", "left_semi")
     per_run = counted.where("tid IS NOT NULL").distinct().groupBy("code").agg(F.sum("n").alias("n"))
     total = counted.where("tid IS NULL").groupBy("code").agg(F.sum("n").alias("n")).unionByName(per_run).groupBy("code").agg(F.sum("n").alias("n_runs"))
     names = F.lit([f"{t}:{s}" for t in TOOLS for s in SIGNALS])
