@@ -12,22 +12,31 @@ from pyspark.sql import DataFrame
 
 from tracefold.session import spread
 
-#: Words of a search pattern, of its blocks, and of the shortest passage that counts.
-M, B, PASSAGE = 5, 2, 20
+#: Words of a search pattern, of its blocks, and of the shortest passage that counts. Of L >= 20 words of which L // 6 differ, four in a row
+#: are equal (24 words with every fifth changed have no five).
+M, B, PASSAGE = 4, 2, 20
+#: Bits of a block's hash: the shift table has so many entries (of one byte), whatever the items are.
+BITS = 20
+#: Places of a text at which the search goes on at once.
+LANES = 4096
 #: One word in so many may differ.
 ONE_IN = 6
 #: A word is an item's own if so many items have it at most.
 SPECIFIC = 2
 #: Words looked at around a hit, on either side.
 AROUND = 32
+HITS = 5
 #: Item words that one pass searches for; more items take more passes. It bounds what executors are sent.
 WORDS_A_PASS = 400_000
 
 #: Costs in an alignment of a word put in or left out, and of one replaced; a passage scores LEAST_SCORE at least.
 GAP, OTHER = 0.55, 0.6
+#: So many of PASSAGE words in a row of a longer passage may differ, in its best stretch of them: four of 24 can't be split better.
+NEAR_OFF = 4
 LEAST_SCORE = PASSAGE - PASSAGE // ONE_IN * (1 + OTHER) - 0.01
 
-_PREFIX = re.compile(r"^[ \t]*(?:(?:[>|#*+\-]+|\d+[ \t]*[|:)]|\d+\.(?=[ \t])|\[?\d{2}:\d{2}:\d{2}\]?(?:[ \t]+[\w\-]+(?:[ \t]+finished,|[ \t]+->))?|//+|[A-Za-z_]{1,12}[:>](?=[ \t]))[ \t]*)+", re.M)
+# What may stand before a line: quote and list marks, numbers, comment signs, a speaker, a clock time with up to three words and a separator.
+_PREFIX = re.compile(r"^[ \t]*(?:(?:\[?\d{2}:\d{2}:\d{2}\]?(?:(?:[ \t]+[\w\-]+){1,3}[ \t]*(?:[-=]>|[,:|]))?|[>|#*+\-]+|\d+[ \t]*[|:)]|\d+\.(?=[ \t])|//+|[A-Za-z_]{1,12}[:>](?=[ \t]))[ \t]*)+", re.M)
 _TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,80}>|&(?:[a-z]{2,6}|#\d{1,5});|\\[nrt](?![a-z]{2,}\\)")
 _WORD = re.compile(r"[^\W_]+(?:_+[^\W_]+)*")
 
@@ -44,8 +53,8 @@ class Index:
     """Shift table, suffix buckets and the items' words. Word 0 is any word the items don't have; pads compare equal to nothing."""
 
     vocabulary: dict[str, int]
-    shift: np.ndarray  # by block (pair of words)
-    suffix: np.ndarray  # sorted blocks that end patterns
+    shift: np.ndarray  # by a block's hash: how far no pattern can end, 0 where one may
+    suffix: np.ndarray  # sorted hashes of the blocks that end patterns
     first: np.ndarray  # where each suffix's bucket starts
     at: np.ndarray  # by bucket entry: where the pattern begins in `flat`
     flat: np.ndarray  # all items' words, padded
@@ -76,13 +85,12 @@ def build_index(ids: list[int], items: list[list[str]], forms: list[np.ndarray])
     for w in items:
         for x in w:
             vocabulary.setdefault(x, len(vocabulary) + 1)
-    v = len(vocabulary) + 1
-    holders = np.bincount([vocabulary[y] for w in items for y in set(w)], minlength=v)
+    holders = np.bincount([vocabulary[y] for w in items for y in set(w)], minlength=len(vocabulary) + 1)
     specific = (holders > 0) & (holders <= max(SPECIFIC, len(items) // 100))
-    pad = np.full(2 * AROUND, -1, np.int64)
+    pad = np.full(2 * AROUND, -1, np.int32)
     flat, item, form = [pad], [np.full(len(pad), -1)], [np.ones(len(pad), bool)]
     for i, w in enumerate(items):
-        flat += [np.array([vocabulary[x] for x in w], np.int64), pad]
+        flat += [np.array([vocabulary[x] for x in w], np.int32), pad]
         item += [np.full(len(w), i), np.full(len(pad), -1)]
         form += [forms[i], np.ones(len(pad), bool)]
     flat, item, form = np.concatenate(flat), np.concatenate(item), np.concatenate(form)
@@ -91,34 +99,60 @@ def build_index(ids: list[int], items: list[list[str]], forms: list[np.ndarray])
     for k in range(M):
         whole &= (flat[starts + k] > 0) & ~form[starts + k]
     starts = starts[whole]
-    shift = np.full(v * v, M - B + 1, np.uint8)
-    for end in range(B - 1, M):  # blocks nearer to a pattern's end come last and win
-        block = flat[starts + end - 1] * v + flat[starts + end]
-        np.minimum.at(shift, block, M - 1 - end)
-    last = flat[starts + M - 2] * v + flat[starts + M - 1]
+    shift = np.full(1 << BITS, M - B + 1, np.uint8)
+    for end in range(B - 1, M):  # the block nearest to a pattern's end decides, also among blocks of the same hash
+        np.minimum.at(shift, _block(flat[starts + end - 1], flat[starts + end]), M - 1 - end)
+    last = _block(flat[starts + M - 2], flat[starts + M - 1])
     order = np.argsort(last, kind="stable")
     suffix, first = np.unique(last[order], return_index=True)
     return Index(vocabulary, shift, suffix, np.append(first, len(order)), starts[order], flat, item, form, np.array(ids), specific)
 
 
+def _block(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The hash of two neighbouring words, BITS wide."""
+    h = (a.astype(np.int64) * 0x9E3779B1 + b) * 0x85EBCA77 & 0xFFFFFFFF
+    return (h ^ h >> 15) & ((1 << BITS) - 1)
+
+
+def stops(x: Index, text: np.ndarray) -> np.ndarray:
+    """The places at which a pattern may end. The search jumps by the shift table from place to place, in LANES stretches of the text at once."""
+    n = len(text)
+    lanes = max(1, min(LANES, (n - M + 1) // (4 * M)))
+    bounds = np.linspace(M - 1, max(n, M - 1), lanes + 1).astype(np.int64)
+    at, end = bounds[:-1], bounds[1:]
+    at, end = at[at < end], end[at < end]
+    found = []
+    while len(at):
+        b, a = text[at], text[at - 1]
+        jump = x.shift[_block(a, b)].astype(np.int64)
+        # A word that no item has is in no pattern: none ends before the place M (or M - 1) words on.
+        jump[a <= 0] = M - 1
+        jump[b <= 0] = M
+        stop = jump == 0
+        found.append(at[stop])
+        at = at + np.maximum(jump, 1)
+        on = at < end
+        if not on.all():
+            at, end = at[on], end[on]
+    return np.concatenate(found) if found else np.empty(0, np.int64)
+
+
 def search(x: Index, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(text place, item place) of every occurrence of every pattern in a padded text of word numbers."""
-    v = len(x.vocabulary) + 1
-    ends = np.arange(M - 1, len(text))
-    known = (text[ends] > 0) & (text[ends - 1] > 0)
-    ends = ends[known]
-    block = text[ends - 1] * v + text[ends]
-    stop = x.shift[block] == 0  # all other places are skipped
-    ends, block = ends[stop], block[stop]
-    bucket = np.searchsorted(x.suffix, block)
+    if not len(x.suffix):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    ends = stops(x, text)
+    block = _block(text[ends - 1], text[ends])
+    bucket = np.minimum(np.searchsorted(x.suffix, block), len(x.suffix) - 1)
+    ends, bucket = ends[x.suffix[bucket] == block], bucket[x.suffix[bucket] == block]
     n = x.first[bucket + 1] - x.first[bucket]
     at = np.repeat(ends - M + 1, n)
     entry = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(x.first[bucket], n)
     where = x.at[entry]
-    same = np.ones(len(at), bool)
-    for k in range(M - B):
-        same &= text[at + k] == x.flat[where + k]
-    return at[same], where[same]
+    for k in range(M - 1, -1, -1):
+        same = text[at + k] == x.flat[where + k]
+        at, where = at[same], where[same]
+    return at, where
 
 
 def alignment_scores(texts: np.ndarray, items: np.ndarray) -> np.ndarray:
@@ -190,17 +224,24 @@ def passage_in(ops: list[tuple[int, bool]]) -> bool:
 def leaks(x: Index, texts: list[str]) -> list[tuple[int, int]]:
     """(text, item row) of the texts that repeat a passage of an item."""
     get = x.vocabulary.get
-    pad = np.full(2 * AROUND, -2, np.int64)
+    pad = np.full(2 * AROUND, -2, np.int32)
     parts, owner = [pad], [np.full(len(pad), -1)]
     for i, t in enumerate(texts):
-        w = np.fromiter((get(y, 0) for y in words(t)), np.int64)
+        w = np.fromiter((get(y, 0) for y in words(t)), np.int32)
         parts += [w, pad]
         owner += [np.full(len(w), i), np.full(len(pad), -1)]
     text, owner = np.concatenate(parts), np.concatenate(owner)
     at, where = search(x, text)
+    # A passage of L words of which d differ has L - 4 d - 3 patterns at least, which is HITS or more within AROUND words.
+    pair = owner[at] * len(x.ids) + x.item[where]
+    order = np.lexsort((at, pair))
+    at, where = at[order], where[order]
+    line = pair[order] * (len(text) + 2 * AROUND) + at
+    many = np.searchsorted(line, line + AROUND, "right") - np.searchsorted(line, line - AROUND) >= HITS
+    at, where = at[many], where[many]
     # One hit a text, item, diagonal and stretch stands for its neighbours.
-    keys = np.stack([owner[at], x.item[where], at - where, at // 8], 1)
-    _, pick = np.unique(keys, axis=0, return_index=True)
+    # (texts and items stand apart, so a stretch and a diagonal have one of each)
+    _, pick = np.unique((at // 8) * (len(text) + len(x.flat)) + (at - where + len(x.flat)), return_index=True)
     at, where = at[pick], where[pick]
     found: set[tuple[int, int]] = set()
     spread = np.arange(-PASSAGE + M, PASSAGE)
@@ -208,7 +249,7 @@ def leaks(x: Index, texts: list[str]) -> list[tuple[int, int]]:
     around = np.arange(-AROUND, M + AROUND)
     for lo in range(0, len(at), 4096):
         a, w = at[lo : lo + 4096], where[lo : lo + 4096]
-        # A passage has all but PASSAGE // ONE_IN of its words near the hit; few chance hits have.
+        # Of some PASSAGE words of a passage all but NEAR_OFF are near the hit; few chance hits have so many.
         mine = x.flat[w[:, None] + spread]
         there = np.zeros(mine.shape, bool)
         near = text[a[:, None] + wide]
@@ -216,7 +257,7 @@ def leaks(x: Index, texts: list[str]) -> list[tuple[int, int]]:
             there |= mine == near[:, k : k + 1]
         there &= ~x.form[w[:, None] + spread]
         run = np.cumsum(np.pad(there, ((0, 0), (1, 0))), 1)
-        close = (run[:, PASSAGE:] - run[:, :-PASSAGE]).max(1) >= PASSAGE - PASSAGE // ONE_IN
+        close = (run[:, PASSAGE:] - run[:, :-PASSAGE]).max(1) >= PASSAGE - NEAR_OFF
         a, w = a[close], w[close]
         if not len(a):
             continue
@@ -224,10 +265,12 @@ def leaks(x: Index, texts: list[str]) -> list[tuple[int, int]]:
         t = np.where(owner[rows_text] == owner[a][:, None], text[rows_text], -2)
         own = x.item[rows_item] == x.item[w][:, None]
         i, form = np.where(own, x.flat[rows_item], -1), x.form[rows_item] | ~own
-        for h in np.flatnonzero(alignment_scores(t, np.where(form, -1, i)) >= LEAST_SCORE):
-            pair = (int(owner[a[h]]), int(x.item[w[h]]))
-            if pair not in found and aligned(t[h], i[h], form[h], own[h] & x.specific[np.maximum(i[h], 0)]):
-                found.add(pair)
+        scores = alignment_scores(t, np.where(form, -1, i))
+        mine = own & ~form & x.specific[np.maximum(i, 0)]
+        for h in sorted(np.flatnonzero(scores >= LEAST_SCORE), key=lambda h: -scores[h]):
+            both = (int(owner[a[h]]), int(x.item[w[h]]))
+            if both not in found and np.isin(i[h][mine[h]], t[h]).any() and aligned(t[h], i[h], form[h], mine[h]):
+                found.add(both)
     return sorted(found)
 
 
@@ -235,8 +278,7 @@ def eval_leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id): documents that repeat, wholly or in part, a passage of an item.
 
     A passage is PASSAGE or more words of the item in a row of which one in ONE_IN may differ; case, punctuation, spacing, markup and what
-    stands before lines don't count. Any such passage holds M words in a row that are equal, so the search for all M-word patterns misses none
-    (three of twenty words may differ, which leaves a run of five). What is left of the item's own words counts, see passage_in. Form text, i.e. PASSAGE or more words in a row that several items have, is
+    stands before lines don't count. Any such passage holds M words in a row that are equal (see M), so the search for all M-word patterns misses none. What is left of the item's own words counts, see passage_in. Form text, i.e. PASSAGE or more words in a row that several items have, is
     neither searched for nor counted.
 
     Null, empty and blank texts give no rows; repeated documents give a row each. Items must fit the driver, as a held-out set does; they are
