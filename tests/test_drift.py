@@ -128,8 +128,8 @@ def test_flooding_decides_where_no_records_are_shared(monkeypatch):
     assert {x[0] for x in drift.schema_changes(profile(many()), later(other))} == {"removed", "added"}
     real = drift.flood
 
-    def low(old, new):
-        score = real(old, new)
+    def low(old, new, base):
+        score = real(old, new, base)
         score[old.at["seed"], new.at["run_seed"]] = 0.01 * score.max()
         return score
 
@@ -137,6 +137,32 @@ def test_flooding_decides_where_no_records_are_shared(monkeypatch):
     assert sorted(drift.schema_changes(profile(many()), later(rename("seed", "run_seed")))) == [("added", "run_seed", ""), ("removed", "seed", "")]
 
 
+def test_flooding_makes_the_renames(spark, monkeypatch):
+    """With shared records too: content only sets the first scores, what flows decides."""
+    agree = {("seed", "run_seed"): (8, 8, 8)}
+    files = profile(many()), profile(many(x=rename("seed", "run_seed")))
+    assert drift.schema_changes(*files, agree) == [("renamed", "seed", "run_seed")]
+    assert {x[0] for x in drift.schema_changes(*files, {("seed", "run_seed"): (8, 1, 1)})} == {"removed", "added"}
+    monkeypatch.setattr(drift, "flood", lambda old, new, base: base * 0)
+    assert {x[0] for x in drift.schema_changes(*files, agree)} == {"removed", "added"}
+
+
+def test_lists_in_lists_are_walked_whole(spark):
+    old = {"trajectory_id": "a", "x": [[{"p": 1}], [[{"q": 2}], {"r": 3}]]}
+    assert changes(lines(spark, [old], [old | {"x": [[{"p": 1}], [[{"s": "two"}]]]}])) == [("c1/1", "added", "x[].s", ""), ("c1/1", "removed", "x[].q", ""), ("c1/1", "removed", "x[].r", "")]
+    files = [[{"trajectory_id": f"t{i}", "x": [[{"p": 1}], [{n: i * 7}]]} for i in range(6)] for n in ("zz_a", "kind")]
+    assert changes(lines(spark, *files)) == [("c1/1", "renamed", "x[].zz_a", "x[].kind")]
+
+
+def test_content_counts_over_all_records(spark):
+    """Files of many records that share few: no sketch could hold the shared ones of both."""
+    a = [{"trajectory_id": f"a{i}", "left": f"value {i}", "k": i} for i in range(1500)]
+    b = [{"trajectory_id": f"b{i}", "zq": f"other {i}", "k": i} for i in range(1500)] + [{"trajectory_id": f"a{i}", "zq": f"value {i}", "k": i} for i in range(0, 1500, 300)]
+    assert changes(lines(spark, a, b)) == [("c1/1", "renamed", "left", "zq")]
+    c = [r | ({"zq": "not that"} if r["trajectory_id"][0] == "a" else {}) for r in b]
+    assert changes(lines(spark, a, c)) == [("c1/1", "added", "zq", ""), ("c1/1", "removed", "left", "")]
+
+
 def test_name_likeness():
     assert drift.name_likeness("input_tokens", "inputTokens") == 1.0
     assert drift.name_likeness("llm_claimed_success", "claimed_success") > 0.5

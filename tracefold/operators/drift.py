@@ -20,12 +20,12 @@ from tracefold.session import apart, checkpointed, spread
 
 #: Objects whose members are data, not fields.
 OPEN = ("metadata", "params")
-#: Values kept of a field for comparing content: those of the smallest record hashes, so files keep the same records.
-SKETCH = 96
 #: Share of the flooded score of fields that keep their name from which a removed and an added field correspond.
 FLOODED = 0.6
 _KINDS = {str: "string", bool: "boolean", int: "number", float: "number", dict: "object", list: "array"}
-_PROFILE = "collector string, file_seq long, file_name string, path string, kinds array<string>, n long, keyed array<struct<k:long,v:long>>, stats array<double>"
+_PROFILE = "collector string, file_seq long, file_name string, path string, kinds array<string>, n long, stats array<double>"
+_CONTENT = "collector string, pair long, k long, is_new boolean, path string, v long"
+_AGREE = "array<struct<old:string,new:string,shared:bigint,same:bigint,distinct:bigint>>"
 
 
 def _hash(text: str) -> int:
@@ -57,37 +57,56 @@ def _stats(v: object) -> tuple:
     return (1, 0, 0.0, 0, 0, 0, 0, 0, 0, 0, 0, 1, len(v))
 
 
-def _walk(value: dict, path: str, at: str, out: dict, seen: set) -> None:
-    """Adds to out[path] what each member is: kinds, number of lines, values by place, and stats."""
-    place = _hash(f"{at}|{path}")
+def _members(v: object) -> Iterator[tuple[str, dict]]:
+    """The objects in a list, those in lists inside it too, each with its place."""
+    todo = [("", v)]
+    while todo:
+        at, x = todo.pop()
+        if isinstance(x, list):
+            todo += [(f"{at}.{i}", y) for i, y in enumerate(x)]
+        elif isinstance(x, dict):
+            yield at, x
+
+
+def _walk(value: dict, path: str, out: dict, seen: set) -> None:
+    """Adds to out[path] what each member is: kinds, number of lines, and stats."""
     for name, v in value.items():
         p = f"{path}.{name}" if path else name
         e = out.get(p)
         if e is None:
-            e = out[p] = [set(), 0, {}, [0.0] * 13]
+            e = out[p] = [set(), 0, [0.0] * 13]
         if p not in seen:
             seen.add(p)
             e[1] += 1
         if v is None:
             continue
         e[0].add(_KINDS[type(v)])
-        e[2][place] = _hash(_text(v))
-        total = e[3]
+        total = e[2]
         for i, x in enumerate(_stats(v)):
             if x:
                 total[i] += x
         if name in OPEN:
             continue
         if isinstance(v, dict):
-            _walk(v, p, at, out, seen)
+            _walk(v, p, out, seen)
         elif isinstance(v, list):
             inner = f"{p}[]"
-            for i, x in enumerate(v):
-                while isinstance(x, list) and x:
-                    x = x[0]
-                if isinstance(x, dict):
-                    out.setdefault(inner, [{"object"}, 0, {}, [0.0] * 13])[1] += 1
-                    _walk(x, inner, f"{at}.{i}", out, seen)
+            for _, x in _members(v):
+                out.setdefault(inner, [{"object"}, 0, [0.0] * 13])[1] += 1
+                _walk(x, inner, out, seen)
+
+
+def _containers(value: dict, path: str, at: str, wanted: set[str]) -> Iterator[tuple[str, str, dict]]:
+    """(path, place, object) of the objects at or above the wanted paths."""
+    yield path, at, value
+    for name, v in value.items():
+        p = f"{path}.{name}" if path else name
+        if name not in OPEN and isinstance(v, (dict, list)) and (p in wanted or f"{p}[]" in wanted):
+            if isinstance(v, dict):
+                yield from _containers(v, p, at, wanted)
+            else:
+                for i, x in _members(v):
+                    yield from _containers(x, f"{p}[]", at + i, wanted)
 
 
 def _record_place(o: dict) -> str:
@@ -99,39 +118,82 @@ def _record_place(o: dict) -> str:
     return max(texts, key=lambda v: (len(v), v), default="")
 
 
+def _parsed(text: object) -> dict | None:
+    try:
+        o = json.loads(text) if isinstance(text, str) else None
+    except (ValueError, RecursionError):
+        return None
+    return o if isinstance(o, dict) else None
+
+
 def _profile_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         files: dict = {}
         for c, s, f, p in zip(b["collector"], b["file_seq"], b["file_name"], b["payload"]):
-            try:
-                o = json.loads(p) if isinstance(p, str) else None
-            except ValueError:
-                o = None
-            except RecursionError:
-                o = None
-            if isinstance(o, dict):
-                _walk(o, "", _record_place(o), files.setdefault((c, s, f), {}), set())
-        rows = [
-            (c, s, f, p, sorted(k), n, [{"k": a, "v": h} for a, h in sorted(kv.items())[:SKETCH]], [float(x) for x in st])
-            for (c, s, f), paths in files.items()
-            for p, (k, n, kv, st) in paths.items()
-        ]
-        yield pd.DataFrame(rows, columns=["collector", "file_seq", "file_name", "path", "kinds", "n", "keyed", "stats"])
+            o = _parsed(p)
+            if o is not None:
+                _walk(o, "", files.setdefault((c, s, f), {}), set())
+        rows = [(c, s, f, p, sorted(k), n, [float(x) for x in st]) for (c, s, f), paths in files.items() for p, (k, n, st) in paths.items()]
+        yield pd.DataFrame(rows, columns=["collector", "file_seq", "file_name", "path", "kinds", "n", "stats"])
+
+
+def _placed_lines(lines: DataFrame) -> DataFrame:
+    rows = lines.where("file_seq IS NOT NULL")
+    return rows.select(F.col("collector").cast("string").alias("collector"), F.col("file_seq").cast("long").alias("file_seq"), F.col("file_name").cast("string").alias("file_name"), F.col("payload").cast("string").alias("payload"))
 
 
 def file_profiles(lines: DataFrame) -> DataFrame:
     """One row per file and field path: its types, lines, and what its values look like.
 
-    Lines are profiled where they are read; only sums, type sets and the smallest SKETCH record hashes of each field move. Lines
+    Lines are profiled where they are read; only sums and type sets of each field move. Lines
     that don't parse to an object, and lines without file_seq, say nothing about a file's fields.
     """
-    rows = spread(lines, "file_name", "payload").where("file_seq IS NOT NULL").select(F.col("collector").cast("string").alias("collector"), F.col("file_seq").cast("long").alias("file_seq"), F.col("file_name").cast("string").alias("file_name"), F.col("payload").cast("string").alias("payload"))
-    parts = rows.mapInPandas(_profile_batches, _PROFILE)
+    parts = spread(_placed_lines(lines), "file_name", "payload").mapInPandas(_profile_batches, _PROFILE)
     stats = F.array(*[F.sum(F.col("stats")[i]) for i in range(13)])
-    return parts.groupBy("collector", "file_seq", "file_name", "path").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("kinds")))).alias("kinds"), F.sum("n").alias("n"),
-        F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("keyed")))), 1, SKETCH).alias("keyed"), stats.alias("stats"),
-    )
+    return parts.groupBy("collector", "file_seq", "file_name", "path").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("kinds")))).alias("kinds"), F.sum("n").alias("n"), stats.alias("stats"))
+
+
+def _content_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The values of the asked fields of each line, by record place."""
+    for b in batches:
+        rows = []
+        for c, p, asked in zip(b["collector"], b["payload"], b["asked"]):
+            o = _parsed(p)
+            if o is None:
+                continue
+            fields: dict[str, list] = {}
+            wanted: set[str] = set()
+            for x in asked:
+                up, _, name = x["path"].rpartition(".")
+                fields.setdefault(up, []).append((x["pair"], x["is_new"], x["path"], name))
+                while up and up not in wanted:
+                    wanted.add(up)
+                    up = up[:-2] if up.endswith("[]") else up.rpartition(".")[0]
+            for path, at, inside in _containers(o, "", _record_place(o), wanted):
+                for pair, is_new, full, name in fields.get(path, ()):
+                    if inside.get(name) is not None:
+                        rows.append((c, pair, _hash(f"{at}|{path}"), is_new, full, _hash(_text(inside[name]))))
+        yield pd.DataFrame(rows, columns=["collector", "pair", "k", "is_new", "path", "v"])
+
+
+def content_agreements(lines: DataFrame, sided: DataFrame) -> DataFrame:
+    """(collector, pair, agree): of the fields that one file of a pair has and the other hasn't, how far their values are the same in the records that both hold.
+
+    sided: (collector, pair, is_new, path, file_seq). Fields are compared within the same parent. Only lines of such files are read again and only these fields' values move; all
+    records count, by a join on the record's place.
+    """
+    same = F.bit_or(F.when(F.col("is_new"), 2).otherwise(1))
+    one = sided.where("NOT endswith(path, '[]')").groupBy("collector", "pair", "path").agg(same.alias("sides"), F.first("is_new").alias("is_new"), F.first("file_seq").alias("file_seq")).where("sides < 3")
+    one = one.withColumn("parent", F.regexp_replace("path", r"(^|\.)[^.]*$", ""))
+    whole = one.groupBy("collector", "pair", "parent").agg(F.bit_or("sides").alias("all_sides")).where("all_sides = 3").select(F.col("collector").alias("_c"), F.col("pair").alias("_p"), F.col("parent").alias("_q"))
+    both = one.join(whole, F.col("collector").eqNullSafe(F.col("_c")) & (F.col("pair") == F.col("_p")) & (F.col("parent") == F.col("_q")), "left_semi")
+    asked = both.groupBy(F.col("collector").alias("_c"), F.col("file_seq").alias("_s")).agg(F.collect_list(F.struct("pair", "is_new", "path")).alias("asked"))
+    rows = _placed_lines(lines).join(asked, F.col("collector").eqNullSafe(F.col("_c")) & (F.col("file_seq") == F.col("_s"))).select("collector", "payload", "asked")
+    values = rows.mapInPandas(_content_batches, _CONTENT).groupBy("collector", "pair", "k", "is_new", "path").agg(F.max("v").alias("v"))
+    at = values.groupBy("collector", "pair", "k").agg(F.collect_list(F.when(~F.col("is_new"), F.struct("path", "v"))).alias("a"), F.collect_list(F.when(F.col("is_new"), F.struct("path", "v"))).alias("b"))
+    pairs = at.select("collector", "pair", F.explode("a").alias("a"), "b").select("collector", "pair", "a", F.explode("b").alias("b")).withColumn("same", F.col("a.v") == F.col("b.v"))
+    agree = pairs.groupBy("collector", "pair", F.col("a.path").alias("old"), F.col("b.path").alias("new")).agg(F.count("*").alias("shared"), F.count_if("same").alias("same"), F.count_distinct(F.when(F.col("same"), F.col("a.v"))).alias("distinct"))
+    return agree.groupBy("collector", "pair").agg(F.collect_list(F.struct("old", "new", "shared", "same", "distinct")).alias("agree"))
 
 
 def _words(name: str) -> set[str]:
@@ -156,13 +218,6 @@ def _looks(s: list[float]) -> np.ndarray:
     return np.array([s[1] / n, s[2] / max(1.0, s[1]), s[3] / n, s[4] / max(1.0, s[3]), s[5] / n, math.log1p(s[6] / max(1.0, s[5])), s[7] / n, s[8] / n, s[9] / n, s[10] / n, s[11] / n, math.log1p(s[12] / max(1.0, s[11]))])
 
 
-def content_agreement(a: dict, b: dict) -> tuple[int, float, int]:
-    """(records both hold, share of them with the same value, different values among the agreeing)."""
-    both = a.keys() & b.keys()
-    same = [k for k in both if a[k] == b[k]]
-    return len(both), len(same) / len(both) if both else 0.0, len({a[k] for k in same})
-
-
 class Side:
     """A file's schema graph: fields, their parents and types, and what they hold."""
 
@@ -171,7 +226,6 @@ class Side:
         self.paths = [r["path"] for r in rows]
         self.at = {p: i for i, p in enumerate(self.paths)}
         self.kinds = [set(r["kinds"]) for r in rows]
-        self.keyed = [{x["k"]: x["v"] for x in r["keyed"]} for r in rows]
         self.looks = [_looks(list(r["stats"])) for r in rows]
         self.full = [r["stats"][0] > 0 for r in rows]
         self.name = [re.split(r"\.", p)[-1] for p in self.paths]
@@ -187,11 +241,12 @@ class Side:
         return {q[len(p) :] for q in self.paths if q.startswith((p + ".", p + "[]."))}
 
 
-def flood(old: Side, new: Side, rounds: int = 50, close: float = 1e-3) -> np.ndarray:
-    """The match scores of all old with all new fields after similarity flooding.
+def first_scores(old: Side, new: Side, agree: dict[tuple[str, str], tuple[int, int, int]]) -> np.ndarray:
+    """How alike all old and all new fields are before anything flows: by names, types, looks of the values, and what is known of a removed and an added field's content.
 
-    Scores begin with names, types and looks of the values, and the values of records that both files hold, the more of them the more. They flow between pairs along equal edges of both graphs: from a pair of
-    objects to the pairs of their members and back, a pair's share divided by the number of its edges, until nothing moves.
+    agree: by (old path, new path) of these, the records that both files hold, those with the same value, and the different values among them. Where that says something, nearly
+    the same values or hardly any, it outweighs the rest; where it says little, as for flags that are always false, it is one sign among them. Fields with the same
+    fields inside are alike, fields with other types aren't.
     """
     names = np.array([[1.0 if a == b else name_likeness(x, y) for b, y in zip(new.paths, new.name)] for a, x in zip(old.paths, old.name)])
     bits = {k: 1 << i for i, k in enumerate(("string", "boolean", "number", "object", "array"))}
@@ -202,13 +257,37 @@ def flood(old: Side, new: Side, rounds: int = 50, close: float = 1e-3) -> np.nda
     looks = np.exp(-np.abs(np.array(old.looks)[:, None, :] - np.array(new.looks)[None, :, :]).sum(2))
     looks = np.where(np.outer(old.full, new.full), looks, 0.3)
     lists = np.array([p.endswith("[]") for p in old.paths])[:, None] == np.array([p.endswith("[]") for p in new.paths])[None, :]
-    base = 0.5 * names + 0.2 * types + 0.3 * looks
-    for i, a in enumerate(old.keyed):
-        for j, b in enumerate(new.keyed):
-            if a and b and old.paths[i].rpartition(".")[0] == new.paths[j].rpartition(".")[0]:  # others' records have other hashes
-                shared, same, _ = content_agreement(a, b)
-                base[i, j] += (same - base[i, j]) * shared / (shared + 2)
-    base *= lists
+    base = (0.5 * names + 0.2 * types + 0.3 * looks) * lists
+    for i, a in enumerate(old.paths):
+        for j, b in enumerate(new.paths):
+            if a in new.at or b in old.at or a.endswith("[]") or b.endswith("[]") or a.rpartition(".")[0] != b.rpartition(".")[0]:
+                continue
+            if old.kinds[i] and new.kinds[j] and not (old.kinds[i] & new.kinds[j]):
+                base[i, j] = 0.0
+                continue
+            inner_old, inner_new = old.inside(i), new.inside(j)
+            if inner_old and inner_new:
+                alike = len(inner_old & inner_new) / len(inner_old | inner_new)
+                if alike >= 0.6 or alike < 0.2:
+                    base[i, j] = 0.7 + 0.2 * alike + 0.1 * names[i, j] if alike >= 0.6 else 0.0
+                    continue
+            shared, same, distinct = agree.get((a, b), (0, 0, 0))
+            share = same / shared if shared else 0.0
+            if shared >= 2 and share < 0.8:
+                base[i, j] = 0.0
+            elif shared >= 2 and (distinct >= 3 or (distinct == 2 and shared >= 6)):
+                base[i, j] = 0.7 + 0.2 * share + 0.1 * names[i, j]
+            else:
+                base[i, j] += (share - base[i, j]) * shared / (shared + 2)
+    return base
+
+
+def flood(old: Side, new: Side, base: np.ndarray, rounds: int = 50, close: float = 1e-3) -> np.ndarray:
+    """The match scores of all old with all new fields after similarity flooding from the first scores.
+
+    Scores flow between pairs along equal edges of both graphs: from a pair of
+    objects to the pairs of their members and back, a pair's share divided by the number of its edges, until nothing moves.
+    """
     down_old, down_new = (x / np.maximum(1, x.sum(1, keepdims=True)) for x in (old.links, new.links))
     score = base.copy()
     for _ in range(rounds):
@@ -222,8 +301,12 @@ def flood(old: Side, new: Side, rounds: int = 50, close: float = 1e-3) -> np.nda
     return score
 
 
-def schema_changes(old_rows: list[dict], new_rows: list[dict]) -> list[tuple[str, str, str]]:
-    """(change_kind, field_path, new_path) between two files' profiles; only the outermost changed fields."""
+def schema_changes(old_rows: list[dict], new_rows: list[dict], agree: dict[tuple[str, str], tuple[int, int, int]] | None = None) -> list[tuple[str, str, str]]:
+    """(change_kind, field_path, new_path) between two files' profiles; only the outermost changed fields.
+
+    A removed and an added field of the same parent correspond if their flooded score is FLOODED of that of fields that keep their name, or more; of several
+    the best pairs are taken in order of the score, which is a stable matching.
+    """
     old, new = Side(old_rows), Side(new_rows)
     changes: list[tuple[str, str, str]] = []
     inside: set[str] = set()
@@ -255,14 +338,10 @@ def schema_changes(old_rows: list[dict], new_rows: list[dict]) -> list[tuple[str
     for q in sorted(gone.keys() | come.keys()):
         pairs = []
         if gone.get(q) and come.get(q):
-            score = flood(old, new) if score is None else score
+            score = flood(old, new, first_scores(old, new, agree or {})) if score is None else score
             known = _known_score(old, new, score, q)
-            for a in gone[q]:
-                for b in come[q]:
-                    i, j = old.at[a], new.at[b]
-                    s = rename_score(old, new, i, j, score[i, j] / known)
-                    if s > 0:
-                        pairs.append((s, a, b))
+            pairs = [(score[old.at[a], new.at[b]] / known, a, b) for a in gone[q] for b in come[q]]
+            pairs = [x for x in pairs if x[0] >= FLOODED and not (old.kinds[old.at[x[1]]] and new.kinds[new.at[x[2]]] and not (old.kinds[old.at[x[1]]] & new.kinds[new.at[x[2]]]))]
         taken: set[str] = set()
         for _, a, b in sorted(pairs, key=lambda x: (-x[0], x[1], x[2])):
             if a not in taken and b not in taken:
@@ -280,43 +359,18 @@ def _known_score(old: Side, new: Side, score: np.ndarray, parent: str) -> float:
     return float(np.median([score[old.at[p], new.at[p]] for p in kept])) or 1.0 if kept else 1.0
 
 
-def rename_score(old: Side, new: Side, i: int, j: int, flooded: float) -> float:
-    """Over 0 if the new field goes on with the old one's content; larger is surer.
-
-    Records that both files hold decide where they say something: the same values in nearly all, and more than one value among them.
-    Where they say little, as for flags that are always false, or where there are none, the flooded score decides: `flooded` is its share of the score of
-    fields that keep their name, and FLOODED the least. Taken in order of the result the pairs are a stable matching. Lists and objects with the same fields inside are the same.
-    """
-    names = name_likeness(old.name[i], new.name[j])
-    if old.kinds[i] and new.kinds[j] and not (old.kinds[i] & new.kinds[j]):
-        return 0.0
-    inner_old, inner_new = old.inside(i), new.inside(j)
-    if inner_old and inner_new:
-        alike = len(inner_old & inner_new) / len(inner_old | inner_new)
-        if alike >= 0.6:
-            return 1.5 + alike + names
-        if alike < 0.2:
-            return 0.0
-    shared, same, distinct = content_agreement(old.keyed[i], new.keyed[j])
-    if shared >= 2:
-        if same < 0.8:
-            return 0.0
-        if distinct >= 3 or (distinct == 2 and shared >= 6):
-            return 2 + same + names
-    return (shared >= 2) + flooded / (1 + flooded) if flooded >= FLOODED else 0.0
-
-
 def _compare_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         rows = []
-        for c, s, fields in zip(b["collector"], b["file_seq"], b["fields"]):
+        for c, s, fields, agree in zip(b["collector"], b["file_seq"], b["fields"], b["agree"]):
             sides: list[list[dict]] = [[], []]
             name = None
             for f in fields:
                 sides[int(f["is_new"])].append(f)
                 name = f["file_name"] if f["is_new"] else name
             if sides[0] and sides[1]:
-                rows += [(c, s, name, *x) for x in schema_changes(*sides)]
+                known = {(x["old"], x["new"]): (x["shared"], x["same"], x["distinct"]) for x in (agree if agree is not None else ())}
+                rows += [(c, s, name, *x) for x in schema_changes(*sides, known)]
         yield pd.DataFrame(rows, columns=["collector", "file_seq", "file_name", "change_kind", "field_path", "new_path"])
 
 
@@ -325,17 +379,19 @@ def drift_report(lines: DataFrame) -> DataFrame:
 
     Columns needed: collector, file_seq, file_name, payload; others are ignored. Lines that don't parse, null payloads and lines without
     file_seq are skipped; repeated lines change nothing; an empty table gives no rows. A null in all lines of a file is a field without a type.
-    One task compares two files' profiles, whose size is given by their fields, not by their lines.
+    Lines are profiled in one pass; one task compares two files' profiles, whose size is given by their fields, not by their lines. What the changed fields
+    hold is compared over all records, see content_agreements.
     """
-    profiles = file_profiles(lines)
-    files = profiles.select("collector", "file_seq").distinct()
-    nxt = files.withColumn("next_seq", F.expr("lead(file_seq) OVER (PARTITION BY collector ORDER BY file_seq)"))
-    n = nxt.select(F.col("collector").alias("_c"), F.col("file_seq").alias("_s"), "next_seq")
+    profiles = checkpointed(file_profiles(lines))
+    n = profiles.select("collector", "file_seq").distinct().select(F.col("collector").alias("_c"), F.col("file_seq").alias("_s"), F.expr("lead(file_seq) OVER (PARTITION BY collector ORDER BY file_seq)").alias("next_seq"))
     both = profiles.join(n, F.col("collector").eqNullSafe(F.col("_c")) & (F.col("file_seq") == F.col("_s")))
     roles = F.array(F.struct(F.col("file_seq").alias("pair"), F.lit(True).alias("is_new")), F.struct(F.col("next_seq").alias("pair"), F.lit(False).alias("is_new")))
-    sided = both.select("collector", "file_name", "path", "kinds", "n", "keyed", "stats", F.explode(roles).alias("r")).where("r.pair IS NOT NULL")
-    pairs = sided.groupBy("collector", F.col("r.pair").alias("file_seq")).agg(F.collect_list(F.struct(F.col("r.is_new").alias("is_new"), "file_name", "path", "kinds", "n", "keyed", "stats")).alias("fields"))
-    return apart(pairs, "collector", "file_seq").mapInPandas(_compare_batches, "collector string, file_seq long, file_name string, change_kind string, field_path string, new_path string")
+    sided = both.select("collector", "file_seq", "file_name", "path", "kinds", "n", "stats", F.explode(roles).alias("r")).where("r.pair IS NOT NULL").select("*", "r.pair", "r.is_new")
+    # A collector's first file is in no pair as the new one.
+    pairs = sided.groupBy("collector", "pair").agg(F.collect_list(F.struct("is_new", "file_name", "path", "kinds", "n", "stats")).alias("fields")).where("exists(fields, x -> NOT x.is_new)")
+    agree = content_agreements(lines, sided.select("collector", "pair", "is_new", "path", "file_seq")).select(F.col("collector").alias("_c"), F.col("pair").alias("_p"), F.col("agree").cast(_AGREE).alias("agree"))
+    known = pairs.join(agree, F.col("collector").eqNullSafe(F.col("_c")) & (F.col("pair") == F.col("_p")), "left").select("collector", F.col("pair").alias("file_seq"), "fields", "agree")
+    return apart(known, "collector", "file_seq").mapInPandas(_compare_batches, "collector string, file_seq long, file_name string, change_kind string, field_path string, new_path string")
 
 
 def _renamer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
