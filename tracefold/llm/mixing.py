@@ -66,8 +66,8 @@ def source_supply(counts: DataFrame, targets: DataFrame) -> DataFrame:
     """Per source of targets: its tokens, all tokens of these sources, what is wanted (permille of all) and the most it can give (max_repeats times)."""
     sums = counts.groupBy(F.col("source").alias("_source")).agg(F.sum("n_tokens").alias("n"), F.count("*").alias("n_docs"))
     t = _targets(targets).join(sums, F.col("_key") == F.col("_source"), "left").select("source", "_key", "target_permille", "max_repeats", F.coalesce("n", F.lit(0)).cast("long").alias("tokens"), F.coalesce("n_docs", F.lit(0)).cast("long").alias("n_docs"))
-    total = t.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("total"))
-    return t.join(F.broadcast(total)).withColumn("wanted", F.col("target_permille") * F.col("total") / 1000).withColumn("most", F.col("tokens") * F.col("max_repeats"))
+    total = F.sum("tokens").over(W.partitionBy(F.lit(0)))  # over the targets' rows
+    return t.withColumn("total", total).withColumn("wanted", F.col("target_permille") * F.col("total") / 1000).withColumn("most", F.col("tokens") * F.col("max_repeats"))
 
 
 @dataclass
