@@ -48,6 +48,7 @@ def target_report(current: DataFrame, targets: DataFrame, one_in: int = 4) -> Da
 
 def _placed(current: DataFrame, targets: DataFrame, one_in: int, over: float, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(report, taken, extra): the targets, the accepted runs cut to their number, and what makes good a short draw."""
+    current = checkpointed(current)
     report = target_report(current, targets, one_in)
     n, w = F.col("available"), F.col("wanted")
     p = F.when(w >= n, F.lit(1.0)).otherwise(F.least(F.lit(1.0), (w * (1 + over) + 6 * F.sqrt(w) + 20) / F.greatest(n, F.lit(1))))
