@@ -18,7 +18,8 @@ def test_shell_quoted(spark, value, want):
 def test_lines_and_truncation(spark):
     assert one(spark, "a\r\nb\x0bc\n", text.lines) == ["a", "b", "c"]
     assert one(spark, "", text.lines) == []
-    assert one(spark, "a\nb\nc", lambda c: text.truncated_lines(c, 2)) == "a\nb\n... [truncated, 1 more lines]"
+    assert one(spark, "a\nb\nc", lambda c: text.truncated_lines(c, 2)) == "a\nb\n\n[truncated — 1 more lines]"
+    assert one(spark, "a\nb\nc", lambda c: text.truncated_lines(c, 1, text.HISTORY_NOTE)) == "a\n[truncated — 2 more lines]"
 
 
 def test_thoughts_and_commas(spark):
@@ -27,10 +28,11 @@ def test_thoughts_and_commas(spark):
 
 
 def test_text_tool_calls(spark):
-    tagged = 'x <tool_call>{"name": "bash", "arguments": {"c": 1}}</tool_call> ```json\n{"name": "no"}\n```'
-    assert [tuple(c) for c in one(spark, tagged, text.text_tool_calls)] == [("text_tc_0", "bash", '{"c":1}')]
+    both = '```json\n{"name": "no"}\n``` x <tool_call>{"name": "bash", "arguments": {"c": 1}}</tool_call> <tool_call>{bad}</tool_call> <tool_call>{"arguments": {}}</tool_call>'
+    assert [tuple(c) for c in one(spark, both, text.text_tool_calls)] == [("text_tc_0", "bash", '{"c":1}'), ("text_tc_1", "no", "{}")]
     assert [tuple(c) for c in one(spark, '```json\n{"name": "f", "parameters": {"a": 2}}\n```', text.text_tool_calls)] == [("text_tc_0", "f", '{"a":2}')]
-    assert one(spark, "none", text.text_tool_calls) == []
+    assert [tuple(c) for c in one(spark, '<tool_call>{"name": "f", "arguments": null, "parameters": {"a": 2}}</tool_call>', text.text_tool_calls)] == [("text_tc_0", "f", "{}")]
+    assert one(spark, "none", text.text_tool_calls) == [] and one(spark, None, text.text_tool_calls) == []
 
 
 @pytest.mark.parametrize("value, want", [("./a//b/../c.py", "a/c.py"), ("../x", None), ("a\\b", "a/b"), ("", "")])
@@ -38,13 +40,39 @@ def test_normal_path(spark, value, want):
     assert one(spark, value, text.normal_path) == want
 
 
-@pytest.mark.parametrize("value, want", [("src/a.py", True), (".git/config", False), ("/etc/x", False), ("a/../../b", False), ("k.PEM", False), (None, False)])
+@pytest.mark.parametrize("value, want", [("src/a.py", True), (".git/config", False), ("./.GIT\\\\x", False), ("a/__pycache__/b.py", False), ("a.PYC", False), ("b.pyo", False), ("c.pyd", False), ("a.git/x", True), ("node_modules/x", True), ("k.pem", True), ("/etc/x", True), ("", True), (None, True)])
 def test_workspace_path(spark, value, want):
     assert one(spark, value, text.workspace_path) is want
 
 
+def test_own_folder(spark):
+    own = lambda c: text.workspace_path(c, ".mine")
+    assert [one(spark, p, own) for p in (".mine/x", "./.MINE/x", "a/.mine/b", ".mine", "mine/x")] == [False, False, False, True, True]
+
+
 def test_sections(spark):
-    assert one(spark, "# T\n## A\none\n\n## B\ntwo\n## A\nlast", text.sections) == {"B": "two", "A": "last"}
+    assert one(spark, "# T\n## A\none\n\n## B\ntwo\n## A\nlast", text.sections) == {"__title__": "# T", "B": "two", "A": "last"}
+    assert one(spark, "x\n## \nlost\n## C\r\n# not a title\n", text.sections) == {"C": "# not a title"} and one(spark, "", text.sections) == {}
+    again = lambda c: text.sections(text.rendered_sections(text.sections(c)))
+    assert one(spark, "# T\n## A\none\n\ntwo\n## B", again) == {"__title__": "# T", "A": "one\n\ntwo", "B": ""}
+    assert one(spark, "# T\n## A\none", lambda c: text.rendered_sections(text.sections(c))) == "# T\n\n## A\none\n"
+
+
+def test_memory_texts(spark):
+    assert one(spark, "abc", lambda c: text.capped(c, 3)) == "abc" and one(spark, "abcd", lambda c: text.capped(c, 3)) == "abc\n... [truncated]\n"
+    m = {"README": " ", "a": "x" * 12, "b": "y"}
+    assert one(spark, m, lambda c: text.first_candidate(c, ["none", "README", "a", "b"], 10), "map<string,string>") == "### a\n\n" + "x" * 10 + "\n\n[...truncated at 10 chars]"
+    assert one(spark, m, lambda c: text.first_candidate(c, ["none"], 10), "map<string,string>") == ""
+    assert one(spark, ["a", "b", "c"], lambda c: text.head_or_more(c, 1), "array<string>") == ["a", "[... 2 more entries]"] and one(spark, ["a"], text.head_or_more, "array<string>") == ["a"]
+    msgs = [("system", "s"), ("user", "u" * 9), ("tool_result", ""), ("assistant", "x")]
+    assert one(spark, msgs, lambda c: text.conversation_text(c, 5), "array<struct<role:string,content:string>>") == "[user] uuuuu\n\n[assistant] x"
+
+
+def test_window_match(spark):
+    content = "def f():\n    return  1\n\ndef g():\n\treturn 1 \n    return 1"
+    find = lambda old: one(spark, content, lambda c: text.window_match(c, F.lit(old)))
+    assert tuple(find(" return\t1")) == ("    return  1", 3) and find("return 2") is None and find(" ") is None and find("x\n" * 9) is None
+    assert tuple(find("def g():\n return   1")) == ("def g():\n\treturn 1 ", 1)
 
 
 @pytest.mark.parametrize("value", ["1700000000", "2023-11-14T22:13:20Z", "2023-11-14T22:13:20+00:00", "2023-11-14 22:13:20"])
@@ -56,7 +84,12 @@ def test_small_ones(spark):
     assert one(spark, "aaaa", lambda c: text.occurrences(c, F.lit("aa"))) == 2
     assert one(spark, "1, 2,1", text.seed_list) == [1, 2] and one(spark, "1,x", text.seed_list) is None
     assert one(spark, "Org/Repo", text.cased_name) == "org__repo"
-    assert one(spark, "My Topic!", text.topic_name) == "my_topic_"
+    assert one(spark, "My Topic!", text.topic_name) == "My_Topic_" and one(spark, "Org/Repo", text.folder_name) == "Org__Repo"
+    assert tuple(one(spark, " a : /x:y ", text.arm_spec)) == ("a", "/x:y")
+    for bad in ("nothing", " :x"):
+        with pytest.raises(Exception, match="expected name:path"):
+            one(spark, bad, text.arm_spec)
+    assert one(spark, 3, lambda c: text.backoff_seconds(c, jitter=F.lit(0.5)), "int") == 6.0 and one(spark, 9, lambda c: text.backoff_seconds(c, retry_after=F.lit(90.0)), "int") == 90.0
     assert one(spark, 3, text.backoff_seconds, "int") == 8.0
     assert one(spark, "x", lambda c: text.result_text(F.lit(False), c, F.lit("bad"))) == "ERROR: bad\nx"
 
@@ -67,7 +100,10 @@ DIFF = "diff --git a/x.py b/x.py\n@@ -1 +1 @@\n-a\n+b\ndiff --git a/.int/y b/.in
 def test_diffs(spark):
     assert one(spark, DIFF, diffs.diff_files) == ["x.py", ".int/y"] and one(spark, DIFF, diffs.diff_hunks) == 3
     assert one(spark, "+++ b/q.py\n@@ x", diffs.diff_files) == ["q.py"]
-    assert ".int/" not in one(spark, DIFF, lambda c: diffs.without_internal(c, (".int/",)))
+    strip = lambda d: one(spark, d, lambda c: diffs.without_internal(c, (".int/",)))
+    assert strip(DIFF) == "diff --git a/x.py b/x.py\n@@ -1 +1 @@\n-a\n+b" and strip("") == "" and strip("diff --git a/.int/y b/.int/y\nx") == ""
+    assert strip("diff --git a/old b/.int/new\nx\ndiff --git a/z b/z\ny\n") == "diff --git a/z b/z\ny\n"
+    assert strip("diff --git a/p b/p\n\ndiff --git a/.int/q b/q\nx\ndiff --git a/z b/z\ny\n") == "diff --git a/p b/p\ndiff --git a/z b/z\ny\n"
     assert one(spark, "", lambda c: diffs.incomplete_fix(c, F.lit(DIFF))) is True
     assert one(spark, DIFF, lambda c: diffs.incomplete_fix(c, F.lit(" "))) is False
     assert sorted(one(spark, 'File "a\\b.py", line 1\nc/d.py:3 and in e.py', diffs.file_refs)) == ["a/b.py", "c/d.py", "e.py"]

@@ -33,8 +33,15 @@ def file_refs(text: Column) -> Column:
 
 
 def without_internal(diff: Column, prefixes: tuple[str, ...]) -> Column:
-    """The diff without the files under the given folders. The line break between two files goes with the later one."""
+    """The diff without the files whose old or new path is under the given folders. A line break stands between the files that stay, as they end."""
     chunks = F.split(diff, "\ndiff --git ")
     named = F.transform(chunks, lambda c, i: F.when(i == 0, c).otherwise(F.concat(F.lit("diff --git "), c)))
-    inside = lambda c: F.lit(False) if not prefixes else F.exists(F.array(*[F.lit(p) for p in prefixes]), lambda p: F.regexp_extract(c, r"^diff --git a/(\S+)", 1).startswith(p))
-    return F.array_join(F.filter(named, lambda c: ~inside(c)), "\n")
+
+    def inside(c: Column) -> Column:
+        words = F.filter(F.split(F.substring_index(c, "\n", 1), r"(?U)\s+"), lambda w: w != "")
+        old, new = F.regexp_replace(F.get(words, F.lit(2)), "^a/", ""), F.regexp_replace(F.get(words, F.lit(3)), "^b/", "")
+        under = lambda p: F.exists(F.lit(list(prefixes)), lambda x: F.startswith(p, x))
+        return F.coalesce((F.size(words) >= 4) & (under(old) | under(new)), F.lit(False)) if prefixes else F.lit(False)
+
+    kept = F.filter(named, lambda c: ~inside(c))
+    return F.aggregate(F.slice(kept, 2, F.size(kept)), F.coalesce(F.get(kept, F.lit(0)), F.lit("")), lambda out, c: F.concat(out, F.when(out.endswith("\n"), "").otherwise("\n"), c))

@@ -117,11 +117,11 @@ def outcome(toxic: Column, tier1: Column, tier2: Column, command: Column, recove
 def run_labels(calls: DataFrame, runs: DataFrame, tasks: DataFrame) -> DataFrame:
     """One row per run: its eight patterns, categories, toxicity, recoveries, and outcome.
 
-    Runs are joined to the calls by run id and to tasks by instance_id; the last gold patch of a task id counts. Runs without calls have the patterns
+    Runs are joined to the calls by run id and to tasks by instance_id; the last gold patch of a task id, in the order the tasks are read, counts. Runs without calls have the patterns
     that follow from their verification.
     """
     no = F.lit(False)
-    gold = tasks.groupBy("instance_id").agg(F.max("gold_patch").alias("gold"))
+    gold = tasks.withColumn("_at", F.monotonically_increasing_id()).groupBy("instance_id").agg(F.max_by("gold_patch", "_at").alias("gold"))
     f = call_facts(calls).withColumn("run", F.lower("trajectory_id")).drop("trajectory_id")
     d = runs.join(f, "run", "left").join(gold, "instance_id", "left")
     cmd, t1, t2 = F.col("tier2_command"), F.col("tier1_pass"), F.col("tier2_pass")
@@ -138,6 +138,14 @@ def run_labels(calls: DataFrame, runs: DataFrame, tasks: DataFrame) -> DataFrame
     return d.withColumn("outcome", outcome(F.col("is_toxic"), F.col("tier1_pass"), F.col("tier2_pass"), F.col("tier2_command"), F.col("n_recoveries") > 0)).drop("tier1_pass", "tier2_pass", "tier2_command")
 
 
+def with_labels(runs: DataFrame, labels: DataFrame, order: str | None = None) -> DataFrame:
+    """runs with the given labels of their trajectory_id, outcome unknown where there are none; of several labels the last counts, by `order` or as they are read."""
+    at = F.col(order) if order else F.monotonically_increasing_id()
+    last = labels.where("trajectory_id IS NOT NULL").withColumn("_at", at).groupBy(F.col("trajectory_id").alias("_t")).agg(F.max_by(F.struct("outcome", "recovery_event_count"), "_at").alias("_l"))
+    d = runs.join(last, F.col("trajectory_id") == F.col("_t"), "left")
+    return d.withColumn("outcome", F.coalesce("_l.outcome", F.lit("unknown"))).withColumn("recovery_event_count", F.col("_l.recovery_event_count")).drop("_t", "_l")
+
+
 def signal_histogram(calls: DataFrame) -> DataFrame:
     return calls.where("signal <> 'NONE'").groupBy("trajectory_id", "signal").agg(F.count("*").alias("n"))
 

@@ -5,12 +5,15 @@ Calls are as in operators.detectors; messages have conv_id, turn, role, text. Ea
 
 from __future__ import annotations
 
-import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from tracefold.functions import text as texts
+from tracefold.operators.ranks import ordered_running
+from tracefold.session import checkpointed
 
 
 def _in_run():
@@ -36,10 +39,10 @@ def edit_nudges(calls: DataFrame, window: int = 6) -> DataFrame:
 
 
 def test_nudges(calls: DataFrame, window: int = 5) -> DataFrame:
-    """Where the last `window` calls hold an edit and no bash call; a window of 0 or less gives no rows."""
+    """Where a run has made `window` calls or more and the last `window` hold an edit and no bash call; a window of 0 or less gives no rows."""
     w = _in_run().rowsBetween(-(max(window, 1) - 1), 0)
-    c = calls.select("trajectory_id", "pos", "turn_id", "tool").withColumn("e", F.max(_EDIT().cast("int")).over(w)).withColumn("b", F.max((F.col("tool") == "bash").cast("int")).over(w)).withColumn("last", last_of_turn())
-    return c.where((F.col("e") == 1) & (F.col("b") == 0) & F.col("last") & F.lit(window > 0)).select("trajectory_id", "pos", "turn_id")
+    c = calls.select("trajectory_id", "pos", "turn_id", "tool").withColumn("e", F.max(_EDIT().cast("int")).over(w)).withColumn("b", F.max((F.col("tool") == "bash").cast("int")).over(w)).withColumn("n", F.row_number().over(_in_run())).withColumn("last", last_of_turn())
+    return c.where((F.col("e") == 1) & (F.col("b") == 0) & (F.col("n") >= window) & F.col("last") & F.lit(window > 0)).select("trajectory_id", "pos", "turn_id")
 
 
 def numbered(calls: DataFrame) -> DataFrame:
@@ -48,18 +51,23 @@ def numbered(calls: DataFrame) -> DataFrame:
     return calls.select("trajectory_id", "pos", "turn_id", (F.row_number().over(t) - 1).cast("long").alias("in_turn"), (F.row_number().over(_in_run()) - 1).cast("long").alias("in_run"))
 
 
-def over_budget(calls: DataFrame, total: int = 100, step: int = 15, step_size: int = 10) -> DataFrame:
-    """Calls beyond the budgets of the run or of their step; a step is step_size turns."""
-    s = F.floor(F.col("turn_id") / step_size)
-    c = calls.select("trajectory_id", "pos", s.alias("step")).withColumn("before", F.row_number().over(_in_run()) - 1).withColumn("in_step", F.row_number().over(W.partitionBy("trajectory_id", "step").orderBy("pos")) - 1)
-    why = F.when(F.col("before") >= total, "total").when(F.col("in_step") >= step, "step")
+def over_budget(calls: DataFrame, total: int = 100, per_step: int = 15, step: str = "turn_id") -> DataFrame:
+    """Calls beyond the budgets of the run or of their step (trajectory_id, pos, step, why); `step` names the column that tells steps apart."""
+    c = calls.select("trajectory_id", "pos", F.col(step).alias("step")).withColumn("before", F.row_number().over(_in_run()) - 1).withColumn("in_step", F.row_number().over(W.partitionBy("trajectory_id", "step").orderBy("pos")) - 1)
+    why = F.when(F.col("before") >= total, "total").when(F.col("in_step") >= per_step, "step")
     return c.withColumn("why", why).where("why IS NOT NULL").select("trajectory_id", "pos", "step", "why")
 
 
-def repeated_actions(calls: DataFrame, allowed: int = 2) -> DataFrame:
-    """Calls whose tool and params_hash the run made `allowed` times or more before; an empty hash is no action's."""
-    w = W.partitionBy("trajectory_id", "tool", "params_hash").orderBy("pos")
-    return calls.where("params_hash <> ''").select("trajectory_id", "pos", "tool", "params_hash").withColumn("nth", F.row_number().over(w).cast("long")).where(F.col("nth") > allowed)
+def action_key() -> Column:
+    """What tells a call's action from others: its tool with the hash of its params, or the params where the hash is empty."""
+    return F.concat(F.col("tool"), F.lit(":"), F.coalesce(F.nullif(F.col("params_hash"), F.lit("")), F.md5("params")))
+
+
+def repeated_actions(calls: DataFrame, allowed: int = 2, step: str = "turn_id") -> DataFrame:
+    """(trajectory_id, pos, step, action, nth): calls that a guard blocks since the step did the same action `allowed` times before. Blocked calls aren't made: nth counts the attempts."""
+    w = W.partitionBy("trajectory_id", "step", "action").orderBy("pos")
+    c = calls.select("trajectory_id", "pos", F.col(step).alias("step"), action_key().alias("action"))
+    return c.withColumn("nth", F.row_number().over(w).cast("long")).where(F.col("nth") > allowed)
 
 
 def files_touched(calls: DataFrame) -> DataFrame:
@@ -96,48 +104,96 @@ def idle_advice(calls: DataFrame, first: int = 8, every: int = 5) -> DataFrame:
 # --- histories of messages
 
 
+CHARS_A_TOKEN = 3.5
+
+
 def token_estimate(chars: Column) -> Column:
-    return F.floor(chars / 3.5).cast("long")
+    return F.floor(chars / CHARS_A_TOKEN).cast("long")
 
 
-def trimmed_results(messages: DataFrame, keep: int = 5, shown: int = 100) -> DataFrame:
-    """Messages with all tool results but the last `keep` cut to a note of their lines and first characters."""
-    back = W.partitionBy("conv_id", "role").orderBy(F.desc("turn"))
-    m = messages.withColumn("_n", F.row_number().over(back))
-    note = F.concat(F.lit("[trimmed — "), F.size(F.split("text", "\n")).cast("string"), F.lit(" lines] "), F.left("text", F.lit(shown)))
-    return m.withColumn("text", F.when((F.col("role") == "tool_result") & (F.col("_n") > keep), note).otherwise(F.col("text"))).drop("_n")
+def _last_turns(messages: DataFrame, n: int) -> DataFrame:
+    """(_c, from_turn): per conversation the turn of its n-th last message; none where there are fewer. Only the n last of each partition move."""
+    last = messages.select("conv_id", "turn").withColumn("_n", F.row_number().over(W.partitionBy("conv_id").orderBy(F.desc("turn")))).where(F.col("_n") <= n)
+    return last.groupBy(F.col("conv_id").alias("_c")).agg(F.min("turn").alias("from_turn"), F.count("*").alias("_m")).where(F.col("_m") == n).drop("_m")
 
 
-def dropped_oldest(messages: DataFrame, limit_tokens: int, keep_last: int = 4) -> DataFrame:
-    """Messages that stay when the oldest are dropped until the estimate is within the limit; system messages and the last ones always stay."""
-    order = W.partitionBy("conv_id").orderBy("turn")
-    last = W.partitionBy("conv_id").orderBy(F.desc("turn"))
-    m = messages.withColumn("_len", F.length("text")).withColumn("_back", F.row_number().over(last)).withColumn("_fixed", (F.col("role") == "system") | (F.col("_back") <= keep_last))
-    all_of = F.sum("_len").over(W.partitionBy("conv_id"))
-    before = F.coalesce(F.sum(F.when(~F.col("_fixed"), F.col("_len"))).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    # A free message is dropped if what is left without those before it is still too much.
-    over = F.floor((all_of - before) / 3.5) > limit_tokens
-    return m.withColumn("_drop", ~F.col("_fixed") & over).where(~F.col("_drop")).drop("_len", "_back", "_fixed", "_drop")
-
-
-def compaction_stage(messages: DataFrame, window_tokens: int = 128_000, share: float = 0.70, keep: int = 5, keep_last: int = 4, lines: int = 50) -> DataFrame:
-    """Per conversation the first stage that brings its estimate to the limit: 0 none needed, 1 long results cut to lines, 2 old results trimmed, 5 oldest dropped."""
-    limit = math.floor(window_tokens * share)
-    back = W.partitionBy("conv_id", "role").orderBy(F.desc("turn"))
+def trim_note(text: Column, shown: int = 100) -> Column:
+    """What an old result is cut to: its number of lines and the first characters of the first line."""
+    return F.concat(F.lit("[trimmed — "), F.size(F.split(text, "\n")).cast("string"), F.lit(" lines] "), F.left(F.substring_index(text, "\n", 1), F.lit(shown)))
+
+
+def trimmed_results(messages: DataFrame, keep: int = 5, plain_over: int | None = None) -> DataFrame:
+    """Messages with all tool results but the last `keep` cut to a note (see trim_note); empty and null ones stay.
+
+    plain_over: the results are plain texts, of which only those of more characters are cut. Turns have no ties in a conversation; the texts go through no window.
+    """
     result = F.col("role") == "tool_result"
-    m = messages.withColumn("_n", F.row_number().over(back)).withColumn("_lines", F.split("text", "\n"))
-    cut = F.when(result & (F.size("_lines") > lines), F.length(F.array_join(F.slice("_lines", 1, lines), "\n"))).otherwise(F.length("text"))
-    old = F.when(result & (F.col("_n") > keep), F.least(cut, F.lit(140))).otherwise(cut)
-    s = m.groupBy("conv_id").agg(F.sum(F.length("text")).alias("a"), F.sum(cut).alias("b"), F.sum(old).alias("c"))
-    fits = lambda x: F.floor(F.col(x) / 3.5) <= limit
+    cuts = _last_turns(messages.where(result), keep)
+    m = messages.join(cuts, F.col("conv_id").eqNullSafe(F.col("_c")), "left")
+    long = F.length("text") > (0 if plain_over is None else plain_over)
+    old = result & (F.lit(True) if keep <= 0 else F.coalesce(F.col("turn") < F.col("from_turn"), F.lit(False)))
+    return m.withColumn("text", F.when(old & long, trim_note(F.col("text"))).otherwise(F.col("text"))).drop("_c", "from_turn")
+
+
+def cut_results(messages: DataFrame, lines: int = 50) -> DataFrame:
+    """Messages with tool results of more lines cut to the first ones and a note."""
+    cut = texts.truncated_lines(F.col("text"), lines, texts.HISTORY_NOTE)
+    return messages.withColumn("text", F.when(F.col("role") == "tool_result", cut).otherwise(F.col("text")))
+
+
+def dropped_oldest(messages: DataFrame, limit_tokens: int, keep_last: int = 4) -> DataFrame:
+    """Messages that stay when the oldest are dropped, one by one, until the estimate is within the limit; each conversation's first message and its last ones always stay.
+
+    Turns are whole numbers without ties in a conversation. Only turns and lengths are ranked, by pieces (operators.ranks); a conversation's result is one turn, up to
+    which all but the first are dropped.
+    """
+    sizes = messages.select("conv_id", "turn", F.coalesce(F.length("text"), F.lit(0)).alias("_len"))
+    whole = sizes.groupBy(F.col("conv_id").alias("_c")).agg(F.sum("_len").alias("_total"), F.min("turn").alias("_first"), F.min_by("_len", "turn").alias("_len0"))
+    tail = _last_turns(messages, keep_last)
+    ranked = ordered_running(sizes, ["conv_id"], "turn", F.col("_len"))
+    d = ranked.join(whole, F.col("conv_id").eqNullSafe(F.col("_c"))).drop("_c").join(tail, F.col("conv_id").eqNullSafe(F.col("_c")))
+    # What was dropped before a message is all between it and the first one.
+    free = (F.col("turn") > F.col("_first")) & (F.col("turn") < F.col("from_turn")) if keep_last > 0 else F.col("turn") > F.col("_first")
+    over = F.floor((F.col("_total") - (F.col("running") - F.col("_len0"))) / CHARS_A_TOKEN) > limit_tokens
+    cuts = d.where(free & over).groupBy(F.col("conv_id").alias("_d")).agg(F.max("turn").alias("_cut"), F.first("_first").alias("_first"))
+    m = messages.join(cuts, F.col("conv_id").eqNullSafe(F.col("_d")), "left")
+    return m.where("_cut IS NULL OR turn > _cut OR turn = _first").drop("_d", "_cut", "_first")
+
+
+def compaction_stage(messages: DataFrame, window_tokens: int = 128_000, share: float = 0.70, keep: int = 5, lines: int = 50) -> DataFrame:
+    """Per conversation (conv_id, tokens, stage): its estimate, and the first stage that brings it to the limit.
+
+    0: none needed, 1: old results trimmed, 2: long results cut to lines as well, 5: oldest dropped. Stages 3 and 4 need a model's summary, which `summarised` takes.
+    """
+    limit = int(window_tokens * share)
+    one = trimmed_results(messages.withColumn("_a", F.length("text")), keep).withColumn("_b", F.length("text"))
+    two = cut_results(one, lines)
+    s = two.groupBy("conv_id").agg(F.coalesce(F.sum("_a"), F.lit(0)).alias("a"), F.coalesce(F.sum("_b"), F.lit(0)).alias("b"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("c"))
+    fits = lambda x: token_estimate(F.col(x)) <= limit
     return s.select("conv_id", token_estimate(F.col("a")).alias("tokens"), F.when(fits("a"), 0).when(fits("b"), 1).when(fits("c"), 2).otherwise(5).alias("stage"))
 
 
-def summarised(messages: DataFrame, summary: Column, keep_last: int = 4) -> DataFrame:
-    """Conversations of more than five messages as system, summary and the last ones; others as they are. The summary replaces the first message it drops."""
-    back = W.partitionBy("conv_id").orderBy(F.desc("turn"))
-    m = messages.withColumn("_back", F.row_number().over(back)).withColumn("_all", F.count("*").over(W.partitionBy("conv_id")))
-    middle = (F.col("_all") > 5) & (F.col("role") != "system") & (F.col("_back") > keep_last)
-    first = F.min(F.when(middle, F.col("turn"))).over(W.partitionBy("conv_id"))
-    m = m.withColumn("_mid", middle).withColumn("_first", first).where(~F.col("_mid") | (F.col("turn") == F.col("_first")))
-    return m.withColumn("text", F.when(F.col("_mid"), summary).otherwise(F.col("text"))).withColumn("role", F.when(F.col("_mid"), "user").otherwise(F.col("role"))).drop("_back", "_all", "_mid", "_first")
+def compacted(messages: DataFrame, window_tokens: int = 128_000, share: float = 0.70, keep: int = 5, keep_last: int = 4, lines: int = 50) -> DataFrame:
+    """The messages after the stages that their conversation needs (see compaction_stage), with the stage."""
+    stages = checkpointed(compaction_stage(messages, window_tokens, share, keep, lines)).select(F.col("conv_id").alias("_s"), "stage")
+    m = messages.join(stages, F.col("conv_id").eqNullSafe(F.col("_s"))).drop("_s")
+    m = checkpointed(m)
+    parts = [m.where("stage = 0"), trimmed_results(m.where("stage = 1"), keep), cut_results(trimmed_results(m.where("stage = 2"), keep), lines), dropped_oldest(cut_results(trimmed_results(m.where("stage = 5"), keep), lines), int(window_tokens * share), keep_last)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def summarised(messages: DataFrame, summaries: DataFrame, label: str = "full_summary", keep_last: int = 4) -> DataFrame:
+    """Conversations of more than five messages as the first one, a summary of the user's role, and the last ones; others, and those without summary, as they are.
+
+    summaries: (conv_id, summary), one a conversation. The summary takes the turn of the first message it stands for. Texts go through no window.
+    """
+    ends = messages.groupBy(F.col("conv_id").alias("_e")).agg(F.count("*").alias("_all"), F.min("turn").alias("_first")).where("_all > 5")
+    given = summaries.where("summary <> ''").select(F.col("conv_id").alias("_g"), "summary")
+    plan = ends.join(given, F.col("_e").eqNullSafe(F.col("_g"))).join(_last_turns(messages, keep_last), F.col("_e").eqNullSafe(F.col("_c"))).select("_e", "_first", "from_turn", "summary")
+    m = messages.join(plan, F.col("conv_id").eqNullSafe(F.col("_e")), "left")
+    middle = F.coalesce((F.col("turn") > F.col("_first")) & (F.col("turn") < F.col("from_turn")), F.lit(False))
+    m = m.withColumn("_mid", middle)
+    second = m.where("_mid").groupBy(F.col("conv_id").alias("_q")).agg(F.min("turn").alias("_second"))
+    m = m.join(second, F.col("conv_id").eqNullSafe(F.col("_q")), "left").where("NOT _mid OR turn = _second")
+    text = F.concat(F.lit(f"[{label}] Previous conversation summary:\n\n"), F.col("summary"))
+    return m.withColumn("text", F.when(F.col("_mid"), text).otherwise(F.col("text"))).withColumn("role", F.when(F.col("_mid"), "user").otherwise(F.col("role"))).drop("_e", "_first", "from_turn", "summary", "_mid", "_q", "_second")

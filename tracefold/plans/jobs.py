@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,12 +44,30 @@ def prepare(spark: SparkSession, records: str, out: str, hints: bool = False) ->
     t.select(F.to_json(F.struct(*[F.nullif(F.col(c), F.lit("")).alias(c) if k == "string" else F.col(c) for c, k in t.dtypes])).alias("value")).write.mode("overwrite").text(out)
 
 
-def to_chat(spark: SparkSession, runs: str, out: str, system: str = "") -> None:
-    """Writes chat-format training samples of a run file; samples with faults are an error."""
-    r = files.read_records(spark, runs)[0].withColumn("success", F.col("verification.final_passed"))
-    s = export.sample_rows(r, system)
+def to_chat(spark: SparkSession, runs: str, out: str, system: str = "") -> int:
+    """Writes chat-format training samples of a run file and gives their number; samples with faults are an error."""
+    s = export.sample_rows(files.read_records(spark, runs)[0], system)
     s = s.withColumn("messages", F.when(F.size("faults") == 0, F.col("messages")).otherwise(F.raise_error(F.concat(F.col("trajectory_id"), F.lit(": "), F.array_join("faults", ", ")))))
-    s.select(F.to_json(F.struct("messages", F.struct("trajectory_id", "export_source").alias("metadata"))).alias("value")).write.mode("overwrite").text(out)
+    return export.write_samples(s, out)
+
+
+def compare(spark: SparkSession, arms: dict[str, str], out: str) -> None:
+    """Writes the aggregates of each arm (name to run file, labels beside it) as one JSON array, and its outcomes in percent as rows."""
+    parts = []
+    for name, path in arms.items():
+        records, labels = files.read_arm(spark, name, path)
+        facts = detectors.call_facts(calls_of(records)).select(F.lower("trajectory_id").alias("run"), "n_calls", "n_edits", "n_bash")
+        r = records.withColumn("run", F.lower("trajectory_id")).select("run", "trajectory_id", "token_usage.input_tokens", "token_usage.output_tokens").join(facts, "run", "left")
+        parts.append(detectors.with_labels(r, labels).select(F.lit(name).alias("arm"), "outcome", F.coalesce("recovery_event_count", F.lit(0)).alias("n_recoveries"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_calls", "n_edits", "n_bash", "input_tokens", "output_tokens")]))
+    whole = checkpointed(reduce(DataFrame.unionByName, parts))
+    rows = detectors.arm_aggregates(whole, F.col("arm"), list(arms))
+    rows.agg(F.to_json(F.array_sort(F.collect_list(F.struct("*")))).alias("value")).write.mode("overwrite").text(f"{out}/aggregates")  # a row an arm
+    detectors.outcome_shares(whole, F.col("arm")).select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").text(f"{out}/outcomes")
+
+
+def report(results: DataFrame, out: str) -> None:
+    """Writes the run report of (ordinal, exit_code) as one JSON object."""
+    tasks.run_report(results).select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").text(out)
 
 
 def main(args: list[str] | None = None) -> None:
@@ -60,12 +79,16 @@ def main(args: list[str] | None = None) -> None:
     c.add_argument("records"), c.add_argument("out"), c.add_argument("--hints", action="store_true")
     c = sub.add_parser("chat")
     c.add_argument("runs"), c.add_argument("out"), c.add_argument("--system", default="")
+    c = sub.add_parser("compare")
+    c.add_argument("out"), c.add_argument("--arm", action="append", required=True, help="name:path")
     a = p.parse_args(args)
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if a.job == "classify":
         classify(spark, a.runs, a.tasks, a.out)
     elif a.job == "prepare":
         prepare(spark, a.records, a.out, a.hints)
+    elif a.job == "compare":
+        compare(spark, dict(x.split(":", 1) for x in a.arm), a.out)
     else:
         to_chat(spark, a.runs, a.out, a.system)
 
