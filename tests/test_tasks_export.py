@@ -156,6 +156,14 @@ def test_budget_groups(spark):
     assert sum(report["mixed"]["label_counts"].values()) == report["mixed"]["n"]
 
 
+def test_few_large_runs(spark):
+    """Sizes of more than the tolerance: swaps mend what filling leaves."""
+    r = random.Random(1)
+    d = pool(spark, runs_of_sizes(14, 6, lambda i: r.randint(60_000, 160_000)))
+    got = lookups.budget_groups(d, target=600_000)
+    assert all(x["within_tolerance"] for x in lookups.group_report(got, 600_000).collect())
+
+
 def test_oversampling(spark):
     d = pool(spark, runs_of_sizes(0, 5, lambda i: i + 1))
     got = lookups.oversampled(d, 5, 2.5, 1).toPandas()
@@ -182,10 +190,12 @@ def test_best_swap_equals_all_pairs(spark):
     selected = d.where(F.col("key").isin([x["key"] for x in inside]))
     pairs = [total - o["tokens"] + i["tokens"] for o in inside if o["label"] == lookups.CLEAN for i in items if i["label"] == lookups.RECOVERY and i not in inside]
     best = min(abs(b.target - p) for p in pairs if b.holds(p))
+    keys = [x["key"] for x in inside]
+    out_of, others = selected.where(F.col("label") == lookups.CLEAN), d.where((F.col("label") == lookups.RECOVERY) & ~F.col("key").isin(keys))
     for width in (3.0, 1000.0):
-        out, into, after = lookups.best_swap(selected, d, total, b, width)
+        out, into, after = lookups.best_swap(out_of, others, total, b, width)
         assert abs(b.target - after) == best and after == total - next(x["tokens"] for x in items if x["key"] == out) + next(x["tokens"] for x in items if x["key"] == into)
-    assert lookups.best_swap(selected, d, total, lookups.Bounds(total + 10**6, total + 10**6, total + 10**6)) is None
+    assert lookups.best_swap(out_of, others, total, lookups.Bounds(total + 10**6, total + 10**6, total + 10**6)) is None
 
 
 @pytest.mark.parametrize(

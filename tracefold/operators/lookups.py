@@ -170,11 +170,39 @@ def filled(pool: DataFrame, capacity: int, bounds: Bounds, seed: int) -> tuple[D
     return taken, total + (more or 0)
 
 
-def _selected(pool: DataFrame, capacity: int, bounds: Bounds, seed: int, trials: int) -> tuple[DataFrame, int]:
-    """The best of some trials in other orders; the first that is within the bounds is taken."""
+def best_swap(inside: DataFrame, outside: DataFrame, total: int, bounds: Bounds, width: float = 65_536, anywhere: bool = False) -> tuple[str, str, int] | None:
+    """(key out, key in, total after): the swap of an item inside a selection for one outside of it that comes nearest to the target, within the bounds unless anywhere; None if there is none.
+
+    For each item outside, the best one to take out is the nearest in size to what would meet the target, found by as-of lookups from below and above, not by pairs.
+    """
+    asked = outside.select(F.lit(0).alias("_one"), F.col("key").alias("key_in"), F.col("tokens").alias("tokens_in"), (F.col("tokens") + total - bounds.target).alias("_ideal"))
+    near = None
+    for sign in (1, -1):
+        right = inside.groupBy("tokens").agg(F.min("key").alias("key")).select(F.lit(0).alias("_one"), (sign * F.col("tokens")).alias("_at"), F.struct(F.col("key").alias("key_out"), F.col("tokens").alias("tokens_out")).alias("out"))
+        part = as_of(asked.withColumn("_want", sign * F.col("_ideal")), right, "_one", "_want", "_at", "out", width=width).where("out IS NOT NULL").select("key_in", "tokens_in", "out.*")
+        near = part if near is None else near.unionByName(part)
+    after = near.withColumn("after", total - F.col("tokens_out") + F.col("tokens_in"))
+    after = after if anywhere else after.where(F.col("after").between(bounds.lower, bounds.upper))
+    best = after.orderBy(F.abs(F.lit(bounds.target) - F.col("after")), "key_in", "key_out").limit(1).collect()
+    return (best[0]["key_out"], best[0]["key_in"], best[0]["after"]) if best else None
+
+
+def _swapped(selected: DataFrame, pool: DataFrame, out: str, into: str) -> DataFrame:
+    return checkpointed(selected.where(F.col("key") != out).unionByName(pool.where(F.col("key") == into)))
+
+
+def _selected(pool: DataFrame, capacity: int, bounds: Bounds, seed: int, trials: int, swaps: int = 8) -> tuple[DataFrame, int]:
+    """The best of some trials in other orders; the first that is within the bounds is taken. A trial that isn't is mended by swaps that come nearer to the target."""
     best = None
     for trial in range(trials):
         items, total = filled(pool, capacity, bounds, seed + 7919 * trial)
+        for _ in range(swaps if total else 0):
+            if bounds.holds(total):
+                break
+            swap = best_swap(items, pool.join(items.select("key"), "key", "left_anti"), total, bounds, anywhere=True)
+            if swap is None or abs(bounds.target - swap[2]) >= abs(bounds.target - total):
+                break
+            items, total = _swapped(items, pool, *swap[:2]), swap[2]
         if best is None or bounds.score(total) < bounds.score(best[1]):
             best = items, total
         if bounds.holds(total):
@@ -182,24 +210,6 @@ def _selected(pool: DataFrame, capacity: int, bounds: Bounds, seed: int, trials:
     return best
 
 
-def best_swap(selected: DataFrame, pool: DataFrame, total: int, bounds: Bounds, width: float = 65_536) -> tuple[str, str, int] | None:
-    """(key out, key in, total after): the swap of a selected item without recovery for a recovery outside the selection that comes nearest to the target within the bounds; null if there is none.
-
-    For each recovery outside, the best item to take out is the nearest in size to what would meet the target, found by as-of lookups from below and above.
-    """
-    outside = pool.where(F.col("label") == RECOVERY).join(selected.select("key"), "key", "left_anti")
-    inside = selected.where(F.col("label") != RECOVERY)
-    asked = outside.select(F.lit(0).alias("_k"), F.col("key").alias("key_in"), F.col("tokens").alias("tokens_in"), (F.col("tokens") + total - bounds.target).alias("_ideal"))
-    near = None
-    for sign in (1, -1):
-        right = inside.groupBy("tokens").agg(F.min("key").alias("key")).select(F.lit(0).alias("_k"), (sign * F.col("tokens")).alias("_at"), F.struct(F.col("key").alias("key_out"), F.col("tokens").alias("tokens_out")).alias("out"))
-        part = as_of(asked.withColumn("_want", sign * F.col("_ideal")), right, "_k", "_want", "_at", "out", width=width).where("out IS NOT NULL").select("key_in", "tokens_in", "out.*")
-        near = part if near is None else near.unionByName(part)
-    after = total - F.col("tokens_out") + F.col("tokens_in")
-    best = near.withColumn("after", after).where(F.col("after").between(bounds.lower, bounds.upper)).orderBy(F.abs(F.lit(bounds.target) - F.col("after")), "key_in", "key_out").limit(1).collect()
-    return (best[0]["key_out"], best[0]["key_in"], best[0]["after"]) if best else None
-
-
 def with_recoveries(selected: DataFrame, total: int, pool: DataFrame, ratio: float, bounds: Bounds, seed: int, trials: int, swaps: int = 16) -> tuple[DataFrame, int]:
     """The selection with recoveries as `ratio` of its items where the pool and the bounds allow it; as it is where they are so many already.
 
@@ -235,10 +245,13 @@ def with_recoveries(selected: DataFrame, total: int, pool: DataFrame, ratio: flo
     selected, total, _ = best
     for _ in range(swaps):
         n, m = share(selected)
-        if m >= ratio * n or (swap := best_swap(selected, pool, total, bounds)) is None:
+        if m >= ratio * n:
+            break
+        outside = pool.where(F.col("label") == RECOVERY).join(selected.select("key"), "key", "left_anti")
+        swap = best_swap(selected.where(F.col("label") != RECOVERY), outside, total, bounds)
+        if swap is None:
             break
-        out, into, total = swap
-        selected = checkpointed(selected.where(F.col("key") != out).unionByName(pool.where(F.col("key") == into)))
+        selected, total = _swapped(selected, pool, *swap[:2]), swap[2]
     return selected, total
 
 

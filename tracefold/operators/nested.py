@@ -100,6 +100,10 @@ def _see(table: str, rows: list, seen: dict) -> None:
                 _see(child_name(table, k), elements(v, k), seen)
 
 
+#: A schema has so many members and kinds at most; where names are data it would have no end.
+MEMBERS = 20_000
+
+
 class FlatTables:
     """The flat tables of some JSON columns, by the merged schema of all their rows.
 
@@ -125,7 +129,10 @@ class FlatTables:
                         _see(c, elements(loaded(text), c), seen)
             yield pd.DataFrame([(t, m, k) for (t, m), kinds in seen.items() for k in kinds], columns=["t", "m", "k"])
 
-        for r in sorted(self.records.select(*columns).mapInPandas(infer, "t string, m string, k string").distinct().collect()):
+        found = self.records.select(*columns).mapInPandas(infer, "t string, m string, k string").distinct().limit(MEMBERS + 1).collect()
+        if len(found) > MEMBERS:
+            raise ValueError("too many member names for a schema: an object whose names are data belongs to OPEN")
+        for r in sorted(found):
             self.schemas.setdefault(r["t"], {}).setdefault(r["m"], set()).add(r["k"])
         self.children = {t: sorted(m for m, k in ms.items() if "array" in k and m not in OPEN) for t, ms in self.schemas.items()}
 

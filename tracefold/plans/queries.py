@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tracefold.operators import drift, nested
 from tracefold.plans import data_queries, run_queries  # noqa: F401
+from tracefold.plans.json_sql import DECODED, elements_sql
 from tracefold.session import checkpointed
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,27 +56,12 @@ def p6_unified(spark: SparkSession, sf: str) -> DataFrame:
     return drift.unified_records(lines, checkpointed(drift.drift_report(lines)))
 
 
-def _elements_sql(v: str, name: str) -> str:
-    """The list of a JSON value's elements in SQL: lists, lists in lists, position keys, envelopes and groups, as in operators.nested."""
-    many = f"len(list_filter(json_extract({v}, '$.*'), lambda y: json_type(y) = 'ARRAY' AND json_type(y, '$[0]') IN ('OBJECT', 'ARRAY', 'NULL')))"
-    inner = f"json_extract(list_filter(json_extract({v}, '$.*'), lambda y: json_type(y) = 'ARRAY')[1], '$[*]')"
-    boxed = f"json_type({v}, '$.{name}')"
-    top = (
-        f"CASE json_type({v}) WHEN 'ARRAY' THEN json_extract({v}, '$[*]') WHEN 'OBJECT' THEN CASE WHEN len(json_keys({v})) > 0 AND len(list_filter(json_keys({v}), lambda k: NOT regexp_full_match(k, '[0-9]+'))) = 0 THEN json_extract({v}, '$.*') "
-        f"WHEN len(json_keys({v})) = 1 AND {boxed} = 'ARRAY' THEN json_extract({v}, '$.{name}[*]') WHEN len(json_keys({v})) = 1 AND {boxed} = 'OBJECT' THEN [json_extract({v}, '$.{name}')] "
-        f"WHEN len(json_keys({v})) <= 3 AND {many} = 1 THEN {inner} ELSE [{v}] END WHEN 'NULL' THEN [] ELSE [{v}] END"
-    )
-    each = "flatten(list_transform({x}, lambda e: CASE WHEN json_type(e) = 'ARRAY' THEN json_extract(e, '$[*]') WHEN json_type(e) = 'OBJECT' AND len(json_keys(e)) <= 3 AND json_type(e, '$.calls') = 'ARRAY' THEN json_extract(e, '$.calls[*]') ELSE [e] END))"
-    return f"list_filter({each.format(x=each.format(x=top))}, lambda e: e IS NOT NULL AND json_type(e) <> 'NULL' AND CAST(e AS VARCHAR) NOT IN ('{{}}', '[]'))"
-
-
 def _p5_sql() -> str:
-    decoded = "CASE WHEN trim(coalesce({c}, '')) = '' THEN NULL WHEN json_type({c}) = 'VARCHAR' THEN CAST(json_extract_string({c}, '$') AS JSON) ELSE CAST({c} AS JSON) END"
-    cols = ", ".join(f"{decoded.format(c=c)} AS {c}" for c in NESTED)
-    lists = ", ".join(f"{_elements_sql(c, c)} AS l_{c}" for c in NESTED)
+    cols = ", ".join(f"{DECODED.format(c=c)} AS {c}" for c in NESTED)
+    lists = ", ".join(f"{elements_sql(c, c)} AS l_{c}" for c in NESTED)
     top = " UNION ALL ".join(f"SELECT record_id, '{c}' AS child_table, -1 AS parent_pos, unnest(range(len(l_{c}))) AS child_pos FROM l" for c in NESTED)
     children = " UNION ALL ".join(
-        f"SELECT record_id, 'attempt_{m}' AS child_table, parent_pos, unnest(range(len({_elements_sql(f'm_{m}', m)}))) AS child_pos FROM (SELECT *, json_extract(e, '$.{m}') AS m_{m} FROM a) WHERE m_{m} IS NOT NULL" for m in ("target_files", "tool_names")
+        f"SELECT record_id, 'attempt_{m}' AS child_table, parent_pos, unnest(range(len({elements_sql(f'm_{m}', m)}))) AS child_pos FROM (SELECT *, json_extract(e, '$.{m}') AS m_{m} FROM a) WHERE m_{m} IS NOT NULL" for m in ("target_files", "tool_names")
     )
     return f"WITH t AS (SELECT record_id, {cols} FROM trajectories), l AS (SELECT record_id, {lists} FROM t), a AS (SELECT record_id, unnest(l_attempts) AS e, unnest(range(len(l_attempts))) AS parent_pos FROM l) {top} UNION ALL {children}"
 
