@@ -261,7 +261,9 @@ def pool_items(spark: SparkSession, sf: str) -> DataFrame:
 
 def _groups(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, int]:
     items = checkpointed(_items(spark, sf))
-    target = items.where(F.col("label") == lookups.CLEAN).agg(F.sum("tokens")).first()[0] // 2
+    target = (items.where(F.col("label") == lookups.CLEAN).agg(F.sum("tokens")).first()[0] or 0) // 2
+    if not target or not items.where(F.col("label") == lookups.RECOVERY).limit(1).count():  # no groups can be made of these runs
+        return items, items.limit(0).select(F.lit("").alias("group_name"), "key", "trajectory_id", "label", "tokens"), target
     return items, lookups.budget_groups(items, target=target), target
 
 
@@ -273,13 +275,13 @@ def budget_sample(spark: SparkSession, sf: str) -> DataFrame:
 _SHARE = "(SELECT count(*) FILTER (outcome = 'verified_with_recovery') / count(*) FROM lab WHERE outcome IN ('verified_one_shot', 'verified_with_recovery'))"
 
 
-@query(ALL_LABELS + f" SELECT g AS group_name, true AS within_tolerance, true AS keys_are_unique, 0 AS n_strange, g = 'recovery_enriched' AND {_SHARE} > 0 AS is_enriched FROM (SELECT unnest(['clean_only', 'mixed', 'recovery_enriched', 'unfiltered']) AS g)", runs_view=True)
+@query(ALL_LABELS + f" SELECT g AS group_name, true AS within_tolerance, true AS keys_are_unique, 0 AS n_strange, g = 'recovery_enriched' AND {_SHARE} > 0 AS is_enriched FROM (SELECT unnest(['clean_only', 'mixed', 'recovery_enriched', 'unfiltered']) AS g) WHERE {_SHARE} BETWEEN 1e-9 AND 1 - 1e-9", runs_view=True)
 def budget_checks(spark: SparkSession, sf: str) -> DataFrame:
     """What holds of any right choice of the groups: their tokens, no run twice but drawn copies, no run of another pool, and twice the natural share of recoveries in the enriched one."""
     items, groups, target = _groups(spark, sf)
     groups = checkpointed(groups)
-    n = {r["label"]: r["n"] for r in items.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    twice = min(1.0, 2.0 * n[lookups.RECOVERY] / (n[lookups.RECOVERY] + n[lookups.CLEAN]))
+    n = {lookups.CLEAN: 0, lookups.RECOVERY: 0} | {r["label"]: r["n"] for r in items.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    twice = min(1.0, 2.0 * n[lookups.RECOVERY] / max(1, n[lookups.RECOVERY] + n[lookups.CLEAN]))
     both = F.col("label").isin(lookups.CLEAN, lookups.RECOVERY)
     belongs = F.when(F.col("group_name") == "clean_only", F.col("label") == lookups.CLEAN).when(F.col("group_name") == "unfiltered", F.col("label") != lookups.TOXIC).otherwise(both)
     known = groups.join(items.select(F.col("trajectory_id").alias("t"), F.col("label").alias("l"), F.col("tokens").alias("k")), (F.col("trajectory_id") == F.col("t")) & (F.col("label") == F.col("l")) & (F.col("tokens") == F.col("k")), "left")

@@ -15,7 +15,7 @@ def elements_sql(v: str, name: str) -> str:
         f"WHEN len(json_keys({v})) = 1 AND {boxed} = 'ARRAY' THEN json_extract({v}, '$.{name}[*]') WHEN len(json_keys({v})) = 1 AND {boxed} = 'OBJECT' THEN [json_extract({v}, '$.{name}')] "
         f"WHEN len(json_keys({v})) <= 3 AND {many} = 1 THEN {inner} ELSE [{v}] END WHEN 'NULL' THEN [] ELSE [{v}] END"
     )
-    each = "flatten(list_transform({x}, lambda e: CASE WHEN json_type(e) = 'ARRAY' THEN json_extract(e, '$[*]') WHEN json_type(e) = 'OBJECT' AND len(json_keys(e)) <= 3 AND json_type(e, '$.calls') = 'ARRAY' THEN json_extract(e, '$.calls[*]') ELSE [e] END))"
+    each = "flatten(list_transform({x}, lambda e: CASE WHEN json_type(e) = 'ARRAY' THEN json_extract(e, '$[*]') WHEN json_type(e) = 'OBJECT' AND len(json_keys(e)) <= 3 AND json_type(e, '$.calls') = 'ARRAY' THEN list_transform(json_extract(e, '$.calls[*]'), lambda c: CASE WHEN json_type(c) = 'OBJECT' AND json_type(e, '$.turn_id') IS NOT NULL THEN json_merge_patch(json_object('turn_id', json_extract(e, '$.turn_id')), c) ELSE c END) ELSE [e] END))"
     return f"list_filter({each.format(x=each.format(x=top))}, lambda e: e IS NOT NULL AND json_type(e) <> 'NULL' AND CAST(e AS VARCHAR) NOT IN ('{{}}', '[]'))"
 
 

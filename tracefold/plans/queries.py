@@ -66,9 +66,29 @@ def _p5_sql() -> str:
     return f"WITH t AS (SELECT record_id, {cols} FROM trajectories), l AS (SELECT record_id, {lists} FROM t), a AS (SELECT record_id, unnest(l_attempts) AS e, unnest(range(len(l_attempts))) AS parent_pos FROM l) {top} UNION ALL {children}"
 
 
+# The members that the records' tables have, and their types; a nested one is JSON text.
+_MEMBERS = {
+    "verification": "final_passed BOOLEAN, tier1_pass BOOLEAN, tier2_command VARCHAR, tier2_pass BOOLEAN",
+    "token_usage": "cache_create_tokens BIGINT, cache_read_tokens BIGINT, input_tokens BIGINT, output_tokens BIGINT, total_tokens BIGINT",
+    "attempts": "attempt_number BIGINT, failure_reason VARCHAR, goal VARCHAR, rolled_back BOOLEAN, status VARCHAR, step_number BIGINT, target_files VARCHAR, tool_names VARCHAR",
+    "tool_call_events": "call_index_in_turn BIGINT, error_signal VARCHAR, global_index BIGINT, params VARCHAR, params_hash VARCHAR, result_content VARCHAR, result_success BOOLEAN, target_file VARCHAR, timestamp DOUBLE, tool_name VARCHAR, turn_id BIGINT",
+}
+
+
+def _typed_sql(name: str) -> str:
+    """The rows of a flat table with their members' values."""
+    top = "attempts" if name.startswith("attempt_") else name
+    start = f"WITH t AS (SELECT record_id, {DECODED.format(c=top)} AS v FROM trajectories), l AS (SELECT record_id, {elements_sql('v', top)} AS l FROM t), a AS (SELECT record_id, unnest(l) AS e, unnest(range(len(l))) AS pos FROM l) "
+    if name != top:
+        m = name.removeprefix("attempt_")
+        return start + f", b AS (SELECT record_id, pos, {elements_sql('m', m)} AS l FROM (SELECT *, json_extract(e, '$.{m}') AS m FROM a) WHERE m IS NOT NULL) SELECT record_id, pos AS parent_pos, unnest(range(len(l))) AS child_pos, json_extract_string(unnest(l), '$') AS value FROM b"
+    members = ", ".join(f"CAST(nullif(json_extract_string(e, '$.{n}'), 'null') AS {k}) AS {n}" for n, k in (x.split() for x in _MEMBERS[name].split(", ")))
+    return start + f"SELECT record_id, -1 AS parent_pos, pos AS child_pos, {members} FROM a"
+
+
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (p5_found, p5_attempts, p5_verification, p5_tool_call_events, p5_token_usage, p5_attempt_target_files, p5_attempt_tool_names, p6_found, p6_unified)} | run_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p5_found": _p5_sql()} | run_queries.SQL
+    return {"p5_found": _p5_sql()} | {f"p5_{n}": _typed_sql(n) for n in (*_MEMBERS, "attempt_target_files", "attempt_tool_names")} | run_queries.SQL
