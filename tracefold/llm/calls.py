@@ -76,11 +76,12 @@ def first_delivered(calls: DataFrame, **columns: Column) -> DataFrame:
 
     Gives tid, c (the chunk), g (the index) and the named columns. Rows without trajectory_id or
     global_index can't be placed and are left out; an unknown time of delivery counts as latest.
-    One shuffle by (tid, c), which later windows over the same keys reuse.
+    One shuffle by (tid, c), which later windows over the same keys reuse; inputs that are spread are spread by these.
     """
-    rows = spread(calls, "trajectory_id", "global_index").where("trajectory_id IS NOT NULL AND global_index IS NOT NULL").select(
-        F.col("trajectory_id").alias("tid"),
-        F.floor(F.col("global_index") / CHUNK).alias("c"),
+    placed = calls.where("trajectory_id IS NOT NULL AND global_index IS NOT NULL").withColumn("_at_run", F.col("trajectory_id")).withColumn("_at_chunk", F.floor(F.col("global_index") / CHUNK))
+    rows = spread(placed, "_at_run", "_at_chunk").select(
+        F.col("_at_run").alias("tid"),
+        F.col("_at_chunk").alias("c"),
         F.col("global_index").alias("g"),
         F.col("ingested_at").alias("_at"),
         F.col("call_id").alias("_id"),
