@@ -25,6 +25,13 @@ def test_prepared_tasks(spark):
     assert got["e"]["tier2_command"] == ""
 
 
+def test_whitelist(spark):
+    d = spark.createDataFrame([("a",), ("b",)], "instance_id string")
+    assert [r[0] for r in tasks.whitelisted(d, d.where("instance_id = 'b'"), needed=True).collect()] == ["b"]
+    with pytest.raises(ValueError, match="none of the tasks"):
+        tasks.whitelisted(d, d.limit(0), needed=True)
+
+
 def test_run_report_stops_at_the_first_error(spark):
     d = spark.createDataFrame([(0, 0), (1, 1), (2, 2), (3, 0)], "ordinal long, exit_code int")
     assert tuple(tasks.run_report(d).first()) == (3, 1, 1, 1)

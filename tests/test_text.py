@@ -116,6 +116,8 @@ def test_python_functions(spark):
         got = one(spark, t, python_udfs.json_object_in)
         assert got == '{"a": 1}' or t.startswith("x {bad}")
     assert one(spark, "[1]", python_udfs.json_object_in) is None
+    for t in ("{" * 200_000, '{"a": "' + "\\\\" * 100_000, "x" * 300_000, '{"a": "}"} {"b": 2}'):
+        assert python_udfs.extract_object(t) == ({"a": "}"} if t.startswith('{"a": "}') else None)
     assert one(spark, "def f(:", python_udfs.python_syntax_error).startswith("line 1")
     assert one(spark, "class A:\n  def m(self, x): pass\ndef g(): pass", python_udfs.python_signatures) == ["class A", "def m(self, x)", "def g()"]
     d = spark.createDataFrame([("a\nb\n", "a\nc\n", "alpha\nalpine")], "x string, y string, z string")

@@ -26,40 +26,54 @@ def params_hash(params: pd.Series) -> pd.Series:
     return params.map(one)
 
 
+_MARK = re.compile(r'\\.|["{}]', re.S)
+# A fenced block, and a comma before a closing bracket.
+_FENCE = re.compile(r"```(?:json|JSON)?\s*\n?(.*?)\n?\s*```", re.S)
+_COMMA = re.compile(r",\s*([}\]])")
+
+
 def _first_object(text: str) -> str | None:
-    """The first balanced {...} of a text, strings and escapes minded."""
-    at = text.find("{")
-    while at >= 0:
-        depth, quoted, escaped = 0, False, False
-        for i in range(at, len(text)):
-            ch = text[i]
-            if quoted:
-                escaped, quoted = (ch == "\\" and not escaped), not (ch == '"' and not escaped)
-            elif ch == '"':
-                quoted = True
-            elif ch in "{}":
-                depth += 1 if ch == "{" else -1
-                if depth == 0:
-                    return text[at : i + 1]
-        at = text.find("{", at + 1)
+    """From the first { to the } that closes it, strings and escapes minded; one pass over the text."""
+    at, depth, quoted = text.find("{"), 0, False
+    if at < 0:
+        return None
+    for m in _MARK.finditer(text, at):
+        c = m[0]
+        if c == '"':
+            quoted = not quoted
+        elif not quoted and c in "{}":
+            depth += 1 if c == "{" else -1
+            if depth == 0:
+                return text[at : m.end()]
     return None
 
 
+def _repaired(text: str) -> str | None:
+    """The text as a repair library mends it, where one is installed."""
+    try:
+        from json_repair import repair_json
+    except ImportError:
+        return None
+    try:
+        return repair_json(text, return_objects=False) or None
+    except (ValueError, TypeError, RecursionError):
+        return None
+
+
 def extract_object(text: str | None) -> dict | None:
-    """The JSON object in a text: the text itself, a fenced block, the same without trailing commas, the first braces, those without trailing commas."""
+    """The JSON object in a text; the first of these that is one: the text itself, a fenced block, the same without trailing commas, the first braces, those without trailing commas, the repaired text."""
     if not isinstance(text, str):
         return None
-    tidy = lambda t: re.sub(r",\s*([}\]])", r"\1", t)
-    fenced = re.search(r"```(?:json)?\s*\n?(.*?)```", text, re.S)
-    braces = _first_object(text)
-    for t in (text, fenced and fenced[1], fenced and tidy(fenced[1]), braces, tidy(text), braces and tidy(braces)):
-        if t:
-            try:
-                o = json.loads(t.strip())
-            except ValueError:
-                continue
-            if isinstance(o, dict):
-                return o
+    fenced, braces = _FENCE.search(text), _first_object(text)
+    tidy = lambda t: t and _COMMA.sub(r"\1", t)
+    inner = fenced and fenced[1].strip()
+    for t in (lambda: text, lambda: inner, lambda: tidy(inner), lambda: braces, lambda: tidy(braces), lambda: _repaired(text)):
+        try:
+            o = json.loads(t() or "")
+        except (ValueError, RecursionError):
+            continue
+        if isinstance(o, dict):
+            return o
     return None
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from dataclasses import dataclass
 from decimal import ROUND_HALF_EVEN, Decimal
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -151,23 +152,23 @@ def filled(pool: DataFrame, capacity: int, bounds: Bounds, seed: int) -> tuple[D
     """
     if bounds.holds(capacity):
         return pool, capacity
-    left, taken, total = pool, None, 0
+    left, taken, total = pool.select("key", "trajectory_id", "label", "tokens"), [], 0
     while True:
         room = bounds.target - total
-        ranked = spread_running(left.where(F.col("tokens") <= room), [], ["key"], F.col("tokens"), seed=seed).drop("rank")
-        part = checkpointed(ranked.where(F.col("running") + F.col("tokens") <= room).drop("running"))
-        got = part.agg(F.sum("tokens")).first()[0]
+        fits = F.when(F.col("tokens") <= room, F.col("tokens"))
+        ranked = spread_running(left, [], ["key"], fits, seed=seed).drop("rank")
+        ranked = checkpointed(ranked.withColumn("_in", (F.col("tokens") <= room) & (F.col("running") + F.col("tokens") <= room)).drop("running"))
+        left = ranked.where("NOT _in").drop("_in")
+        got = ranked.where("_in").agg(F.sum("tokens")).first()[0]
         if not got:
             break
+        taken.append(ranked.where("_in").drop("_in"))
         total += got
-        taken = part if taken is None else taken.unionByName(part)
-        left = checkpointed(left.join(part.select("key"), "key", "left_anti"))
     off = F.abs(F.col("tokens") - (bounds.target - total))
     last = left.where((F.col("tokens") <= bounds.upper - total) & (off < abs(bounds.target - total))).orderBy(off, "key").limit(1)
     last = checkpointed(last)
     more = last.agg(F.sum("tokens")).first()[0]
-    taken = last if taken is None else taken.unionByName(last)
-    return taken, total + (more or 0)
+    return reduce(DataFrame.unionByName, [*taken, last]), total + (more or 0)
 
 
 def best_swap(inside: DataFrame, outside: DataFrame, total: int, bounds: Bounds, width: float = 65_536, anywhere: bool = False) -> tuple[str, str, int] | None:

@@ -55,9 +55,12 @@ def prepared(records: DataFrame, include_hints: bool = False) -> DataFrame:
     return t.where("task IS NOT NULL").withColumn("tier2_command", test_command(F.col("fail_to_pass"), F.col("test_patch")))
 
 
-def whitelisted(tasks: DataFrame, ids: DataFrame) -> DataFrame:
-    """The tasks whose instance_id is among ids."""
-    return tasks.join(ids.select("instance_id"), "instance_id", "left_semi")
+def whitelisted(tasks: DataFrame, ids: DataFrame, needed: bool = False) -> DataFrame:
+    """The tasks whose instance_id is among ids; with needed, none at all is an error."""
+    kept = tasks.join(ids.select("instance_id"), "instance_id", "left_semi")
+    if needed and not kept.limit(1).count():
+        raise ValueError("none of the tasks is among the wanted ids")
+    return kept
 
 
 def by_seeds(tasks: DataFrame, seeds: list[int]) -> DataFrame:
