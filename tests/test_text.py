@@ -85,6 +85,7 @@ def test_small_ones(spark):
     assert one(spark, "1, 2,1", text.seed_list) == [1, 2] and one(spark, "1,x", text.seed_list) is None
     assert one(spark, "Org/Repo", text.cased_name) == "org__repo"
     assert one(spark, "My Topic!", text.topic_name) == "My_Topic_" and one(spark, "Org/Repo", text.folder_name) == "Org__Repo"
+    assert one(spark, "Org/Repo-1", lambda c: text.image_tag(c, "img")) == "img.org__repo-1:latest" and one(spark, "Org/Repo-1", lambda c: text.container_name(c, "box")) == "box-Org_Repo-1"
     assert tuple(one(spark, " a : /x:y ", text.arm_spec)) == ("a", "/x:y")
     for bad in ("nothing", " :x"):
         with pytest.raises(Exception, match="expected name:path"):
@@ -119,7 +120,8 @@ def test_python_functions(spark):
     for t in ("{" * 200_000, '{"a": "' + "\\\\" * 100_000, "x" * 300_000, '{"a": "}"} {"b": 2}'):
         assert python_udfs.extract_object(t) == ({"a": "}"} if t.startswith('{"a": "}') else None)
     assert one(spark, "def f(:", python_udfs.python_syntax_error).startswith("line 1")
-    assert one(spark, "class A:\n  def m(self, x): pass\ndef g(): pass", python_udfs.python_signatures) == ["class A", "def m(self, x)", "def g()"]
+    assert one(spark, "class A:\n  def m(self, x): pass\ndef g(): pass", python_udfs.python_signatures) == ["class A:", "    def m(self, x)", "def g()"]
+    assert python_udfs.signatures_in("async def a(x, *, y=1): pass\nb = 2\ndef c(): pass", 2) == ["async def a(x)", "def c()", "    ..."] and python_udfs.signatures_in("def (") == [] == python_udfs.signatures_in(None)
     d = spark.createDataFrame([("a\nb\n", "a\nc\n", "alpha\nalpine")], "x string, y string, z string")
     assert "-b\n+c\n" in d.select(python_udfs.unified_diff("x", "y", F.lit("p"))).first()[0]
     assert d.select(python_udfs.similar_lines("z", F.lit("alpha "))).first()[0][0] == "alpha"

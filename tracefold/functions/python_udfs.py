@@ -109,22 +109,32 @@ def python_syntax_error(text: pd.Series) -> pd.Series:
     return text.map(one)
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def python_signatures(text: pd.Series) -> pd.Series:
-    """'class A' and 'def f(a, b)' of a module's top level and classes, in order; null if it doesn't parse."""
+SIGNATURES = 15
 
-    def one(t: str | None) -> list[str] | None:
-        try:
-            tree = ast.parse(t or "")
-        except (SyntaxError, ValueError):
-            return None
-        out: list[str] = []
-        for n in tree.body:
-            if isinstance(n, ast.ClassDef):
-                out.append(f"class {n.name}")
-                out += [f"def {m.name}({', '.join(a.arg for a in m.args.args)})" for m in n.body if isinstance(m, (ast.FunctionDef, ast.AsyncFunctionDef))]
-            elif isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef)):
-                out.append(f"def {n.name}({', '.join(a.arg for a in n.args.args)})")
-        return out
 
-    return text.map(one)
+def signatures_in(text: str | None, most: int = SIGNATURES) -> list[str]:
+    """The headers of a module's functions and classes in order, a class's methods indented below it, names of positional arguments only.
+
+    Once there are `most` or more, '    ...' ends the list; a class that was begun is listed whole. What doesn't parse has none.
+    """
+    try:
+        body = ast.parse(text or "").body
+    except (SyntaxError, ValueError, RecursionError):
+        return []
+    head = lambda f, indent: f"{indent}{'async def' if isinstance(f, ast.AsyncFunctionDef) else 'def'} {f.name}({', '.join(a.arg for a in f.args.args)})"
+    functions = (ast.FunctionDef, ast.AsyncFunctionDef)
+    out: list[str] = []
+    for n in body:
+        if isinstance(n, functions):
+            out.append(head(n, ""))
+        elif isinstance(n, ast.ClassDef):
+            out += [f"class {n.name}:", *(head(m, "    ") for m in n.body if isinstance(m, functions))]
+        if len(out) >= most:
+            return [*out, "    ..."]
+    return out
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def python_signatures(text: pd.Series) -> pd.Series:
+    """The headers in a Python module, see signatures_in."""
+    return text.map(signatures_in)

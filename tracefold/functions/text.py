@@ -228,3 +228,13 @@ def window_match(content: Column, wanted: Column) -> Column:
 def cased_name(c: Column) -> Column:
     """A repository's name as a folder or image name: lower case, '/' as '__'."""
     return F.replace(F.lower(c), F.lit("/"), F.lit("__"))
+
+
+def image_tag(c: Column, prefix: str) -> Column:
+    """The tag of an instance's image: the prefix, and the id as image names may be."""
+    return F.concat(F.lit(f"{prefix}."), cased_name(c), F.lit(":latest"))
+
+
+def container_name(c: Column, prefix: str) -> Column:
+    """The name of an instance's container: the prefix, and the id with '_' for '/'."""
+    return F.concat(F.lit(f"{prefix}-"), F.replace(c, F.lit("/"), F.lit("_")))
