@@ -64,3 +64,21 @@ def test_by_source(spark):
 
 def test_empty_table(spark):
     assert truncation.truncated(spark.createDataFrame([], "doc_id long, source string, text string")).count() == 0
+
+
+def ids(spark, rows):
+    df = spark.createDataFrame([(i, s, t) for i, (s, t) in enumerate(rows)], "doc_id long, source string, text string")
+    return {r["doc_id"] for r in truncation.truncated(df).collect()}
+
+
+def test_texts_cut_at_the_same_piece_are_all_found(spark):
+    # As in a large table: a piece of a word that ends a dozen texts is still no word, and a log line that ends three no end of a log.
+    whole = [("note", f"{note()} {sentence()}") for _ in range(700)] + [("run-log", log()) for _ in range(80)]
+    cut = [("note", note() + f" The {n} of the {m} keeps the old or") for n in NOUNS[:3] for m in NOUNS[:4]] + [("run-log", "\n".join(log().split("\n")[:7]) + "\n[10:2") for _ in range(3)]
+    assert ids(spark, whole + cut) == set(range(len(whole), len(whole + cut)))
+
+
+def test_copies_change_nothing(spark):
+    rows = GOOD + CUT
+    once = ids(spark, rows)
+    assert ids(spark, rows * 10) == {k * len(rows) + i for i in once for k in range(10)}
